@@ -169,12 +169,12 @@ def _join_hash(span: bytes, n: int) -> int:
 _OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start:int,stop:int>>"
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = GRAM) -> DataFrame:
-    """A row per document with its hits; hit_spans are runs of hit words.
+def met_items(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = GRAM) -> DataFrame:
+    """The rows of ``docs``, with the items that share a fingerprint as _items.
 
-    Only fingerprints are joined; documents then meet the texts of the items
-    that share one with them. The fingerprints of the benchmark are broadcast
-    when their counted number is at most BROADCAST_ROWS.
+    Only fingerprints are joined; documents then meet the texts of their items.
+    The fingerprints of the benchmark are broadcast when their counted number is
+    at most BROADCAST_ROWS.
     """
     fps = item_fingerprints(items, window, gram).cache()
     try:
@@ -189,120 +189,59 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
     known = F.broadcast(known) if count <= BROADCAST_ROWS else known
     pairs = document_fingerprints(own, lengths, window, gram).join(known, "fp").select("doc_id", "item_id", "_hash").distinct()
     texts = items.select(F.col("item_id").cast("string").alias("item_id"), F.xxhash64("text").alias("_hash"), F.col("text").alias("item_text")).distinct()
-    pairs = pairs.join(texts, ["item_id", "_hash"]).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text")).alias("_items"))
-    pairs = pairs.withColumnRenamed("doc_id", "_doc")
+    pairs = pairs.join(texts, ["item_id", "_hash"]).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("item_id", "item_text")).alias("_items"))
+    return docs.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+
+
+def _hits(batch: pa.RecordBatch, window: int):
+    """(row, number of words, flags of hit words, items) of a batch's rows."""
+    texts, items_of = batch.column("text"), batch.column("_items")
+    _, offsets = text_buffer(texts)
+    for i, j in blocks(offsets):
+        low, starts, stops, rows, hashes = _hashed(texts, i, j)
+        cuts = np.searchsorted(rows, np.arange(j - i + 1))
+        raw = low.tobytes()
+        for k in range(j - i):
+            a, b = int(cuts[k]), int(cuts[k + 1])
+            hit, found = np.zeros(b - a, bool), set()
+            if (mine := items_of[i + k]).is_valid:
+                words = [raw[s:e] for s, e in zip(starts[a:b].tolist(), stops[a:b].tolist(), strict=True)]
+                hit, found = extend(words, hashes[a:b], [(x["item_id"], _words(x["item_text"])) for x in mine.as_py()], window)
+            yield i + k, b - a, hit, found
 
-    def run(batches):
-        for batch in batches:
-            texts, ids = batch.column("text"), batch.column("item_id").to_pylist()
-            out = []
-            for i in range(batch.num_rows):
-                _, _, _, rows, words = _hashed(texts, i, i + 1)
-                short = _short(len(words), window)
-                _, fps = fingerprints(words, rows, short, window, gram)
-                out += [(ids[i], texts[i].as_py(), len(words), int(x)) for x in fps.view(np.int64)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["item_id", "text", "n_words", "fp"])
-
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(run, "item_id string, text string, n_words int, fp long")
 
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = GRAM) -> DataFrame:
+    """A row per document with its hits; hit_spans are runs of hit words."""
 
-def document_fingerprints(docs: DataFrame, lengths: list[int], window: int, gram: int = GRAM) -> DataFrame:
     def run(batches):
         for batch in batches:
-            _, offsets = text_buffer(batch.column("text"))
-            ids = batch.column("doc_id")
-            for i, j in blocks(offsets):
-                _, _, _, rows, words = _hashed(batch.column("text"), i, j)
-                row, fps = fingerprints(words, rows, lengths, window, gram)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + i, pa.int64())), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
-
-
-def extend(words: list[bytes], hashes: np.ndarray, items: list[tuple[str, list[bytes]]], window: int) -> tuple[np.ndarray, set[str]]:
-    """Words hit by the items' windows, and the items that have one."""
-    hit, found = np.zeros(len(words) + 1, np.int64), set()
-    by_length: dict[int, dict[bytes, set[str]]] = {}
-    for item, own in items:
-        n = min(window, len(own))
-        spans = by_length.setdefault(n, {})
-        for k in range(len(own) - n + 1):
-            spans.setdefault(b" ".join(own[k : k + n]), set()).add(item)
-    for n, spans in by_length.items():
-        if not n or len(words) < n:
-            continue
-        known = np.array([_join_hash(s, n) for s in spans], np.uint64)
-        grams = gram_hashes(hashes, n)
-        for at in np.flatnonzero(np.isin(grams, known)):
-            owners = spans.get(b" ".join(words[at : at + n]))
-            if owners:
-                found |= owners
-                hit[at] += 1
-                hit[at + n] -= 1
-    return np.cumsum(hit[:-1]) > 0, found
-
-
-def _join_hash(span: bytes, n: int) -> int:
-    data = np.frombuffer(span, np.uint8)
-    _, starts, stops, _ = words_of(data, np.array([0, len(data)]))
-    return int(gram_hashes(span_hash(prefix_hash(data), starts, stops), n)[0])
-
-
-_OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start:int,stop:int>>"
+            ids, out = batch.column("doc_id").to_pylist(), []
+            for i, n, hit, found in _hits(batch, window):
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist()
+                spans = [{"start": s, "stop": e} for s, e in zip(edge[::2], edge[1::2], strict=True)]
+                listed = ",".join(sorted(found))
+                out.append((ids[i], n, int(hit.sum()), len(found), hashlib.sha256(listed.encode()).hexdigest(), bool(spans), spans))
+            if out:
+                yield _rows(out)
 
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return met_items(own, items, window, gram).mapInArrow(run, _OUT)
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = GRAM) -> DataFrame:
-    """A row per document with its hits; hit_spans are runs of hit words.
 
-    Only fingerprints are joined; documents then meet the texts of the items
-    that share one with them. The fingerprints of the benchmark are broadcast
-    when their counted number is at most BROADCAST_ROWS.
-    """
-    fps = item_fingerprints(items, window, gram).cache()
-    try:
-        count = fps.count()
-        # At most window - 1 lengths.
-        lengths = [r[0] for r in fps.filter(F.col("n_words") < window).select("n_words").distinct().collect()]
-    finally:
-        fps.unpersist()
-    # Two items may share an id or a text; each differs by both.
-    known = fps.select("fp", "item_id", F.col("text").alias("item_text"))
-    small = known.select("fp").distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = document_fingerprints(own, lengths, window, gram)
-    if count <= BROADCAST_ROWS:
-        seen, known = seen.join(F.broadcast(small), "fp", "left_semi"), F.broadcast(known)
-    pairs = seen.join(known, "fp").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "item_text")).alias("_items"))
-    pairs = pairs.withColumnRenamed("doc_id", "_doc")
+def uncontaminated(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = GRAM) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that no item's window hits."""
 
     def run(batches):
         for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id").to_pylist()
-            _, offsets = text_buffer(texts)
-            items_of = batch.column("_items")
-            out = []
-            for i, j in blocks(offsets):
-                low, starts, stops, rows, hashes = _hashed(texts, i, j)
-                cuts = np.searchsorted(rows, np.arange(j - i + 1))
-                raw = None
-                for k in range(j - i):
-                    a, b = int(cuts[k]), int(cuts[k + 1])
-                    spans, found, n_hit = [], set(), 0
-                    if (mine := items_of[i + k]).is_valid:
-                        raw = low.tobytes() if raw is None else raw
-                        words = [raw[s:e] for s, e in zip(starts[a:b].tolist(), stops[a:b].tolist(), strict=True)]
-                        hit, found = extend(words, hashes[a:b], [(x["item_id"], _words(x["item_text"])) for x in mine.as_py()], window)
-                        n_hit = int(hit.sum())
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                        spans = [{"start": int(s), "stop": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)]
-                    listed = ",".join(sorted(found))
-                    out.append((ids[i + k], b - a, n_hit, len(found), hashlib.sha256(listed.encode()).hexdigest(), n_hit > 0, spans))
-            if out:
-                yield _rows(out)
-
-    return own.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select("doc_id", "text", "_items").mapInArrow(run, _OUT)
+            good = np.ones(batch.num_rows, bool)
+            some = np.flatnonzero(batch.column("_items").is_valid().to_numpy(zero_copy_only=False))
+            if len(some):
+                part = batch.select(["text", "_items"]).take(pa.array(some))
+                for i, _, hit, _ in _hits(part, window):
+                    good[some[i]] = not hit.any()
+            yield batch.drop_columns(["_items"]).filter(pa.array(good))
+
+    return met_items(docs, items, window, gram).mapInArrow(run, docs.schema)
 
 
 def _words(text: str) -> list[bytes]:

@@ -48,7 +48,7 @@ def op7_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=100, kept=False)
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=100)
 
 
 def op9_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

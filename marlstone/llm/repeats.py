@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import BLOCK_BYTES, cut, mix64, partitions, powers, prefix_hash, span_hash, text_buffer
+from marlstone.llm.common import BLOCK_BYTES, cut, mix64, partitions, powers, prefix_hash, rows_of, span_hash, text_buffer
 from marlstone.llm.suffix import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -320,48 +320,72 @@ def sorted_shards(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
     return dealt.mapInArrow(run, _COVER)
 
 
-_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-_OUT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+def covered_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """_doc, _tie and _covered: the places of each document's repeated strings.
 
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: bool = True) -> DataFrame:
-    """A row per document: sizes, digest and (with ``kept``) the bytes that stay.
-
-    The two tables that are written on the way hold places, never texts.
+    ``docs`` has doc_id, text (not null) and tie, the text's hash. What is
+    written on the way holds places, never texts.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    met = cut(met_runs(document_runs(own, length, gram), length), "runs")
-    wanted = met.filter("kind = 2")
-    sorted_ = sorted_shards(run_bytes(wanted, own, length), length)
+    met = cut(met_runs(document_runs(docs, length, gram), length), "runs")
+    sorted_ = sorted_shards(run_bytes(met.filter("kind = 2"), docs, length), length)
     covered = met.filter("kind = 1").select("doc_id", "tie", "start", "size").unionByName(sorted_)
-    by_doc = covered.groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("start", "size")).alias("_covered"))
-    schema = ", ".join(_OUT.split(", ")[: None if kept else -1])
+    return covered.groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("start", "size")).alias("_covered"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+
+
+def _stay(raw: bytes, mine) -> tuple[bytes, int, int]:
+    """What stays of a text, the bytes that go and their spans."""
+    if not mine.is_valid:
+        return raw, 0, 0
+    start = mine.values.field("start").to_numpy().astype(np.int64)
+    a, z = merged(start, start + mine.values.field("size").to_numpy())
+    stay = b"".join([raw[i:j] for i, j in zip([0, *z.tolist()], [*a.tolist(), len(raw)], strict=True)])
+    return stay, int((z - a).sum()), len(a)
+
+
+_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_OUT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """A row per document: sizes, and the digest of the bytes that stay."""
+    own = _keyed(docs)
+    by_doc = covered_bytes(own, length, gram)
 
     def run(batches):
         for batch in batches:
-            out, held = [], 0
+            out = []
             texts, covers = batch.column("text"), batch.column("_covered")
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):
                 raw = texts[k].as_py().encode()
-                stay, spans, gone = raw, 0, 0
-                if (mine := covers[k]).is_valid:
-                    start = mine.values.field("start").to_numpy().astype(np.int64)
-                    a, z = merged(start, start + mine.values.field("size").to_numpy())
-                    spans, gone = len(a), int((z - a).sum())
-                    stay = b"".join([raw[i:j] for i, j in zip([0, *z.tolist()], [*a.tolist(), len(raw)], strict=True)])
-                row = (doc, len(raw), gone, spans, hashlib.sha256(stay).hexdigest(), stay)
-                out.append(row if kept else row[:-1])
-                held += len(stay) * kept
-                if held >= _FLUSH_BYTES:
-                    yield _out_batch(out)
-                    out, held = [], 0
+                stay, gone, spans = _stay(raw, covers[k])
+                out.append((doc, len(raw), gone, spans, hashlib.sha256(stay).hexdigest()))
             if out:
-                yield _out_batch(out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _OUT_TYPES, strict=True)], [x.split()[0] for x in _OUT.split(", ")])
+
+    met = own.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left")
+    return met.select("doc_id", "text", "_covered").mapInArrow(run, _OUT)
 
-    met_docs = own.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left")
-    return met_docs.select("doc_id", "text", "_covered").mapInArrow(run, schema)
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The rows of ``docs`` with all their columns, repeated bytes gone from the
+    text; a character that lost some of its bytes goes whole. Null text stays
+    null. ``n_chars``, if there, is counted anew."""
+    by_doc = covered_bytes(_keyed(docs), length, gram)
+    row = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    met = row.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_tie")), "left")
+    at = docs.columns.index("text")
 
-def _out_batch(out: list[tuple]) -> pa.RecordBatch:
-    names = [x.split()[0] for x in _OUT.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _OUT_TYPES, strict=False)], names[: len(out[0])])
+    def run(batches):
+        for batch in batches:
+            for part in rows_of(batch):
+                covers, texts = part.column("_covered"), part.column("text").to_pylist()
+                for k in np.flatnonzero(covers.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    texts[k] = _stay((texts[k] or "").encode(), covers[k])[0].decode("utf-8", "ignore")
+                yield part.drop_columns(["_covered"]).set_column(at, "text", pa.array(texts, pa.string()))
+
+    out = met.select(*docs.columns, "_covered").mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -54,16 +54,19 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, tie: str | None = None) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a signed long); with ``tie`` also
+    the text's hash under that name."""
+    more = [tie] if tie else []
 
     def run(batches):
         for batch in batches:
             for part in rows_of(batch):
                 fps = np.array([fingerprint(t, shingle, seed) for t in part.column("text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64)), *[part.column(c) for c in more]], ["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.xxhash64("text").alias(c) for c in more])
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in more))
 
 
 def _masks(first: int, last: int, flips: int) -> np.ndarray:
@@ -219,13 +222,30 @@ def connected(edges: DataFrame) -> DataFrame:
         now = after
 
 
+def _rooted(own: DataFrame, radius: int) -> DataFrame:
+    """``own``, a row per distinct fp, with the root of its component."""
+    stars = connected(links(own.select("fp"), radius))
+    return own.join(stars, own.fp == stars.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id: the smallest doc_id that
     links of at most ``radius`` differing bits reach."""
     rows = cut(fingerprints(docs, shingle, seed), "fingerprints")
-    own = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    stars = connected(links(own, radius))
-    rooted = own.join(stars, own.fp == stars.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), radius)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: of each component
+    the one with the smallest doc_id, then text hash; a null id comes last, and
+    of fully repeated rows one stays."""
+    rows = cut(fingerprints(docs, shingle, seed, "_tie"), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tie")
+    rooted = _rooted(rows.groupBy("fp").agg(F.min(place).alias("least")), radius)
+    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_doc"), F.col("least._tie").alias("_of"))
+    tied = docs.withColumn("_tie", F.xxhash64("text"))
+    met = tied.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_tie") == F.col("_of")))
+    return met.dropDuplicates(["_doc", "_of"]).select(*docs.columns)

@@ -294,3 +294,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out())
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        one = shared.value.scorer()
+        for batch in batches:
+            for part in rows_of(batch):
+                yield part.filter(pa.array([one(t) < threshold for t in part.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

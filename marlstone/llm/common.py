@@ -1,68 +1,33 @@
-"""What the operators share: tables, scratch space, files and Arrow buffers."""
+"""What the operators share: files, Arrow buffers and hashes."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.session import cut, drop_cut, scratch, table
+
+__all__ = ["BLOCK_BYTES", "blocks", "cut", "drop_cut", "filesystem", "mix64", "packed", "partitions", "powers", "prefix_hash", "rows_of", "scratch", "span_hash", "table", "text_buffer", "unpacked"]
 
 #: Bytes of text that numpy code expands at a time; arrays of eight bytes a
 #: character follow from it, so this bounds a worker's memory.
 BLOCK_BYTES = 1 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder that goes with
-    the process; any other session gets a folder in the warehouse.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if not root:
-        if spark.sparkContext.master.startswith("local"):
-            root = tempfile.mkdtemp(prefix="marlstone-")
-            atexit.register(shutil.rmtree, root, ignore_errors=True)
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there.
-
-    The copy survives the loss of any executor.
-    """
-    path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns as one, so that no name can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*rest).alias("_row"))
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete what ``cut`` wrote for ``df``; it must not be read again."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``packed``'s rows with the columns of ``docs``."""
+    return rows.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def partitions(spark: SparkSession) -> int:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import blocks, mix64, prefix_hash, span_hash, text_buffer
+from marlstone.llm.common import blocks, mix64, packed, prefix_hash, span_hash, text_buffer, unpacked
 
 #: Words of a fingerprint; the window of grams follows from the shared span.
 GRAM = 6
@@ -239,9 +239,10 @@ def uncontaminated(docs: DataFrame, items: DataFrame, window: int = 10, gram: in
                 part = batch.select(["text", "_items"]).take(pa.array(some))
                 for i, _, hit, _ in _hits(part, window):
                     good[some[i]] = not hit.any()
-            yield batch.drop_columns(["_items"]).filter(pa.array(good))
+            yield batch.select(["text", "_row"]).filter(pa.array(good))
 
-    return met_items(docs, items, window, gram).mapInArrow(run, docs.schema)
+    met = met_items(packed(docs), items, window, gram).select("text", "_row", "_items")
+    return unpacked(met.mapInArrow(run, met.drop("_items").schema), docs)
 
 
 def _words(text: str) -> list[bytes]:

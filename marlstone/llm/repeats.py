@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import BLOCK_BYTES, cut, mix64, partitions, powers, prefix_hash, rows_of, span_hash, text_buffer
+from marlstone.llm.common import BLOCK_BYTES, cut, mix64, packed, partitions, powers, prefix_hash, rows_of, span_hash, text_buffer, unpacked
 from marlstone.llm.suffix import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -375,9 +375,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     text; a character that lost some of its bytes goes whole. Null text stays
     null. ``n_chars``, if there, is counted anew."""
     by_doc = covered_bytes(_keyed(docs), length, gram)
-    row = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    met = row.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_tie")), "left")
-    at = docs.columns.index("text")
+    own = packed(docs).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    met = own.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_tie")), "left").select("text", "_row", "_covered")
 
     def run(batches):
         for batch in batches:
@@ -385,7 +384,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 covers, texts = part.column("_covered"), part.column("text").to_pylist()
                 for k in np.flatnonzero(covers.is_valid().to_numpy(zero_copy_only=False)).tolist():
                     texts[k] = _stay((texts[k] or "").encode(), covers[k])[0].decode("utf-8", "ignore")
-                yield part.drop_columns(["_covered"]).set_column(at, "text", pa.array(texts, pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column("_row")], ["text", "_row"])
 
-    out = met.select(*docs.columns, "_covered").mapInArrow(run, docs.schema)
+    out = unpacked(met.mapInArrow(run, met.drop("_covered").schema), docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, drop_cut, partitions, rows_of
+from marlstone.llm.common import cut, drop_cut, packed, partitions, rows_of, unpacked
 
 BITS, PREFIX = 64, 12
 #: Variants that a task holds at a time; a prefix with more is split further.
@@ -246,6 +246,6 @@ def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int =
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tie")
     rooted = _rooted(rows.groupBy("fp").agg(F.min(place).alias("least")), radius)
     stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_doc"), F.col("least._tie").alias("_of"))
-    tied = docs.withColumn("_tie", F.xxhash64("text"))
-    met = tied.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_tie") == F.col("_of")))
-    return met.dropDuplicates(["_doc", "_of"]).select(*docs.columns)
+    own = packed(docs).withColumn("_tie", F.xxhash64("text"))
+    met = own.join(stay, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_tie") == F.col("_of")))
+    return unpacked(met.dropDuplicates(["_doc", "_of"]), docs)

@@ -179,9 +179,10 @@ def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, limit: int) -> np.nd
     at = np.flatnonzero(phi >= 0)
     out[at] = 0
     # Eight symbols at a time, then one at a time.
-    word = np.zeros(max(0, len(s) - 7), np.uint64)
+    n = max(0, len(s) - 7)
+    word = np.zeros(n, np.uint64)
     for k in range(8):
-        word |= s[k : len(s) - 7 + k].astype(np.uint64) << np.uint64(8 * k)
+        word |= s[k : k + n].astype(np.uint64) << np.uint64(8 * k)
     k = 0
     while k < limit and len(at):
         step = 8 if limit - k >= 8 else 1

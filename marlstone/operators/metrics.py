@@ -108,6 +108,21 @@ def any_positive(rows: DataFrame, image: str, axis: str, truth: str, prediction:
     return counts.select(*confusion_metrics(*(F.when(both, F.col(c)).otherwise(0) for c in ("tp", "fp", "fn", "tn"))))
 
 
+def any_positive_direct(rows: DataFrame, image: str, axis: str, truth: str, prediction: str) -> DataFrame:
+    """Image-level truth as in ``any_positive`` against one prediction an image;
+    a missing one counts as wrong."""
+    on = F.coalesce(F.col(axis), F.lit(False))
+    images = rows.groupBy(image).agg(F.coalesce(F.bool_or(on & F.col(truth)), F.lit(False)).alias("t"), F.first(prediction, ignorenulls=True).alias("p"))
+    both = images.agg(F.count_distinct("t").alias("n")).first().n > 1
+    return binary_metrics(images if both else images.limit(0), "t", "p")
+
+
+def truth_composition(rows: DataFrame) -> DataFrame:
+    """Rows by ground truth: nature or not, and each sub-label."""
+    cases = {"nature": "gt_nature", "no_nature": "NOT gt_nature", "biotic": "gt_biotic", "abiotic": "NOT gt_biotic", "material": "gt_material", "immaterial": "NOT gt_material"}
+    return rows.agg(*[F.count_if(F.expr(c)).alias(n) for n, c in cases.items()])
+
+
 def class_stats(rows: DataFrame, key: str, name: str, seq: str) -> DataFrame:
     """Distinct classes (by key, else name; the first row of each counts) by
     axis; sub-axes of nature alone; rows without a nature label are left out."""
@@ -150,19 +165,22 @@ def hierarchical_means(rows: DataFrame, mapped: str = "mapped") -> DataFrame:
 
 
 def extraction_diagnostics(objects: DataFrame, image: str) -> DataFrame:
-    """objects: a row per object (null for an image without), with mapped,
-    parse_failed and vlm_called. Rates are 0 without a denominator."""
+    """objects: a row per object (null for an image without), with mapped and
+    parse_failed. Rates are 0 without a denominator."""
     has = F.col("object").isNotNull()
-    images = objects.groupBy(image).agg(
-        F.count_if(has).alias("n"), F.count_if(has & F.col("mapped")).alias("m"), F.count_if(has & F.col("parse_failed")).alias("f"), F.count_if(has & F.col("vlm_called")).alias("c")
-    )
+    images = objects.groupBy(image).agg(F.count_if(has).alias("n"), F.count_if(has & F.col("mapped")).alias("m"), F.count_if(has & F.col("parse_failed")).alias("f"))
     return images.agg(
         F.count("*").alias("images"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("objects"), mean_or_zero(F.col("n").cast("double")).alias("objects_per_image"),
-        _ratio(F.sum("f"), F.sum("c")).alias("parse_failure_rate"), _ratio(F.sum("m"), F.sum("n")).alias("mapping_rate"),
-        _ratio(F.sum("n") - F.sum("m"), F.sum("n")).alias("fallback_rate"), _ratio(F.count_if(F.col("n") > 0), F.count("*")).alias("extraction_hit_rate"),
+        _ratio(F.sum("f"), F.sum("n")).alias("parse_failure_rate"), _ratio(F.sum("m"), F.sum("n")).alias("mapping_rate"), _ratio(F.sum("n") - F.sum("m"), F.sum("n")).alias("fallback_rate"),
     )
 
 
+def extraction_hits(targets: DataFrame, matched: str = "obj_idx") -> DataFrame:
+    """Share of the targets with a truth that an extracted object matches."""
+    hit = F.col(matched).isNotNull()
+    return targets.filter("gt_nature IS NOT NULL").agg(F.count("*").alias("targets"), F.count_if(hit).alias("hits"), mean_or_zero(hit.cast("double")).alias("extraction_hit_rate"))
+
+
 def image_rates(objects: DataFrame, image: str) -> DataFrame:
     """Rates of one image; null where it has no objects."""
     counts = objects.groupBy(image).agg(F.count("object").alias("objects"), F.count_if(F.col("mapped") & F.col("object").isNotNull()).alias("mapped"))

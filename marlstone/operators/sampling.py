@@ -39,6 +39,17 @@ def round_robin(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
     return own.orderBy("turn", "_g", key).limit(n).drop("_g")
 
 
+def round_robin_of_last(rows: DataFrame, group: str, key: str, seq: str, n: int) -> DataFrame:
+    """``round_robin`` where a key counts for the group that it was last seen in."""
+    last = rows.groupBy(key).agg(F.max_by(group, seq).alias(group))
+    return round_robin(last, group, key, n)
+
+
+def batch_number(index: Column, size: int) -> Column:
+    """Fixed-size batches in order of a dense index."""
+    return F.floor(index / size).cast("long")
+
+
 def scaled_targets(targets: dict[str, int], n: int) -> dict[str, int]:
     """Targets scaled to n rows, each at least 1, halves to even."""
     total = sum(targets.values())

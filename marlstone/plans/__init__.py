@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from marlstone.plans import records, scoring, taxonomy
+from marlstone.plans import records, runs, scoring, taxonomy
 from marlstone.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "records", "scoring", "taxonomy"]
+__all__ = ["ORACLES", "QUERIES", "records", "runs", "scoring", "taxonomy"]

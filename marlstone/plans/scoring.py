@@ -168,22 +168,22 @@ def object_gt_match(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_objects(objects, matching.target_terms(targets, lemmas))
 
 
-_OBJECTS = """WITH obj AS (SELECT o_orderkey, p_name AS object, p_size % 2 = 0 AS mapped, l_linenumber = 3 AS failed, l_linenumber <> 1 AS called
+_OBJECTS = """WITH obj AS (SELECT o_orderkey, p_name AS object, p_size % 2 = 0 AS mapped, l_linenumber = 3 AS failed
   FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag <> 'N' LEFT JOIN part ON l_partkey = p_partkey),
-img AS (SELECT o_orderkey, count(object) AS n, count(object) FILTER (WHERE mapped) AS m, count(object) FILTER (WHERE failed) AS f, count(object) FILTER (WHERE called) AS c FROM obj GROUP BY 1) """
+img AS (SELECT o_orderkey, count(object) AS n, count(object) FILTER (WHERE mapped) AS m, count(object) FILTER (WHERE failed) AS f FROM obj GROUP BY 1) """
 
 
 def order_objects(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("l_linenumber")
     part = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("object"), (F.col("p_size") % 2 == 0).alias("mapped"))
-    items = table(spark, d, "lineitem").filter("l_returnflag <> 'N'").select("l_orderkey", "l_partkey", (n == 3).alias("parse_failed"), (n != 1).alias("vlm_called"))
+    items = table(spark, d, "lineitem").filter("l_returnflag <> 'N'").select("l_orderkey", "l_partkey", (n == 3).alias("parse_failed"))
     items = items.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     return table(spark, d, "orders").select("o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
 
 
 @query(
-    _OBJECTS + """SELECT CAST(count(*) AS BIGINT) AS images, CAST(sum(n) AS BIGINT) AS objects, round(avg(n), 9) AS objects_per_image, round(sum(f) / CAST(sum(c) AS DOUBLE), 9) AS parse_failure_rate,
-  round(sum(m) / CAST(sum(n) AS DOUBLE), 9) AS mapping_rate, round((sum(n) - sum(m)) / CAST(sum(n) AS DOUBLE), 9) AS fallback_rate, round(count(*) FILTER (WHERE n > 0) / CAST(count(*) AS DOUBLE), 9) AS extraction_hit_rate FROM img"""
+    _OBJECTS + """SELECT CAST(count(*) AS BIGINT) AS images, CAST(sum(n) AS BIGINT) AS objects, round(avg(n), 9) AS objects_per_image, round(sum(f) / CAST(sum(n) AS DOUBLE), 9) AS parse_failure_rate,
+  round(sum(m) / CAST(sum(n) AS DOUBLE), 9) AS mapping_rate, round((sum(n) - sum(m)) / CAST(sum(n) AS DOUBLE), 9) AS fallback_rate FROM img"""
 )
 def extraction_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.extraction_diagnostics(order_objects(spark, d), "o_orderkey"))

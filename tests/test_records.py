@@ -164,3 +164,37 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {r.caption for r in got} == {f"a picture of dog {i}" for i in range(3)} and {r.batch for r in got} == {0, 1}
+
+
+def test_inference_records(spark, tmp_path):
+    """Images without objects or matches, and an artifact that is read back."""
+    from marlstone.operators import inference
+    from marlstone.sources import categories
+
+    kind = "image_path string, targets array<struct<class_name:string,synset_id:string,gt_nature:boolean,gt_biotic:boolean,gt_material:boolean>>"
+    images = spark.createDataFrame([("a ring", [("Ring", "r.n.1", True, True, None), ("tree", None, None, None, None)]), ("no", None)], kind)
+    vocabulary = spark.createDataFrame([("ring", "r.n.1")], "lemma string, node string")
+    resolved = spark.createDataFrame([("r.n.1", True, "biotic")], "node string, is_nature boolean, life_category string")
+    records = inference.infer(images, vocabulary, resolved)
+    stores.write_artifact(records, str(tmp_path / "a"), {"dataset": "toy", "model": "rule"})
+    _, back = stores.read_artifact(spark, str(tmp_path / "a"))
+    for r in (records, back):
+        rows = {(x.image_path, x.object): x for x in inference.exploded_objects(r).collect()}
+        assert rows["a ring", "ring"].final.final_biotic is True and rows["a ring", "picture"].final.nature_source == "vlm"
+    lemmas = spark.createDataFrame([("r.n.1", "band")], "node string, lemma string")
+    scores = {r.axis: r for r in inference.holistic_scores(back, lemmas).collect()}
+    assert scores["nature"].support == 1 and scores["biotic"].accuracy == 1.0 and scores["material"].support == 0
+    assert categories.categories(spark).count() == 80 and categories.synonyms(spark).filter("word = 'boy'").first().node == "person.n.01"
+
+
+def test_more_metrics(spark):
+    from marlstone.operators import metrics
+
+    rows = spark.createDataFrame([(1, True, True, None), (1, False, True, None), (2, True, False, True)], "i int, a boolean, t boolean, p boolean")
+    got = metrics.any_positive_direct(rows, "i", "a", "t", "p").first()
+    assert got.support == 2 and got.accuracy == 0.0
+    truth = spark.createDataFrame([(True, True, None), (False, None, None)], "gt_nature boolean, gt_biotic boolean, gt_material boolean")
+    assert tuple(metrics.truth_composition(truth).first()) == (1, 1, 1, 0, 0, 0)
+    seen = spark.createDataFrame([("k1", "a", 1), ("k1", "b", 2), ("k2", "a", 3)], "k string, g string, s int")
+    assert [(r.k, r.g) for r in sampling.round_robin_of_last(seen, "g", "k", "s", 5).orderBy("g").collect()] == [("k2", "a"), ("k1", "b")]
+    assert [r[0] for r in spark.range(5).select(sampling.batch_number(F.col("id"), 2)).collect()] == [0, 0, 1, 1, 2]

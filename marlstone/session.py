@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,22 @@ def build_session(app: str = "marlstone", **conf: str) -> SparkSession:
     return builder.config(map=settings | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once a context."""
+    sc, here = spark.sparkContext, Path(__file__).parent
+    if getattr(sc, "_marlstone_shipped", False) or not here.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="marlstone-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/marlstone_package.zip", "w") as out:
+        for path in sorted(here.rglob("*.py")):
+            out.write(path, path.relative_to(here.parent))
+    sc.addPyFile(f"{folder}/marlstone_package.zip")
+    sc._marlstone_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,6 +68,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there,
     and the copy survives the loss of any executor."""
+    ship(df.sparkSession)
     path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import rows_of
+from marlstone.llm.common import cut, rows_of
 
 #: Least tokens of a class, and least pages (and share of the host's) that it
 #: is on: what makes a class large and frequent.
@@ -211,15 +211,15 @@ def token_vectors(pages: DataFrame) -> DataFrame:
     return found.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum(F.col("sign").cast("decimal(38,0)")).alias("sign"), F.sum("place").alias("place"))
 
 
-def templates(vectors: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(vectors: DataFrame, sizes: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """host and its classes: arrays of tokens in order of their mean place, the
-    class on most pages (and of most tokens) first.
+    class on most pages (and of most tokens) first. ``sizes`` has each host's
+    number of pages.
 
     A class holds at most the tokens of one page, and the share of pages bounds
     the classes of a host by the tokens of 1 / min_share pages.
     """
-    whole = vectors.groupBy("host").agg(F.max("pages").alias("_most"))
-    often = vectors.join(whole, "host").filter((F.col("pages") >= min_pages) & (F.col("pages") >= min_share * F.col("_most")))
+    often = vectors.filter(F.col("pages") >= min_pages).join(sizes, "host").filter(F.col("pages") >= min_share * F.col("host_pages"))
     member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token")
     classes = often.groupBy("host", "sign", "pages").agg(F.sort_array(F.collect_list(member)).alias("members")).filter(F.size("members") >= min_tokens)
     rank = F.struct((-F.col("pages")).alias("pages"), (-F.size("members")).alias("size"), F.transform("members", lambda m: m["token"]).alias("tokens"))
@@ -281,11 +281,30 @@ def _join(parts: list[tuple[int, str]]) -> str:
     return "\n".join(out)
 
 
-def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+#: Bytes of templates up to which every task gets them all.
+BROADCAST_BYTES = 16 << 20
+#: Parts that a host's pages are dealt to where there are more templates.
+PARTS = 64
+
+
+def with_templates(rows: DataFrame, deduced: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows (host, page_key) with their host's classes. Templates of a measured
+    size are broadcast, so html stays where it is; larger ones are copied to
+    PARTS parts of each host, so a hot host's pages spread over as many tasks."""
+    held = F.aggregate("classes", F.lit(64).cast("long"), lambda n, c: n + 16 + 8 * F.size(c))
+    size = deduced.agg(F.sum(held).alias("n")).first().n or 0
+    if size <= broadcast_bytes:
+        return rows.join(F.broadcast(deduced), "host", "left")
+    copies = deduced.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("part", F.pmod("page_key", F.lit(PARTS)).cast("int")).join(copies, ["host", "part"], "left")
+
+
+def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text, n_chars and n_classes (of the host's template)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     rows = rows.withColumn("page_key", F.xxhash64("page_id", "url", "html"))
-    deduced = templates(token_vectors(rows.select("host", "page_key", "html")), min_tokens, min_pages, min_share)
+    sizes = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
+    deduced = cut(templates(token_vectors(rows.select("host", "page_key", "html")), sizes, min_tokens, min_pages, min_share), "templates")
 
     def run(batches):
         for batch in batches:
@@ -297,5 +316,5 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN
                     ["page_id", "url", "text", "n_chars", "n_classes"],
                 )
 
-    met = rows.join(deduced, "host", "left").select("page_id", "url", "html", "classes")
+    met = with_templates(rows, deduced, broadcast_bytes).select("page_id", "url", "html", "classes")
     return met.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_classes int")

@@ -10,7 +10,8 @@ beginnings, learnt from labelled rows, scores the restored text.
 Defined results: null and empty texts have no features and get the model's base
 score; rows with a null doc_id are scored and never learnt from; a doc_id
 labelled more than once is toxic if any label says so, null labels are ignored;
-without labelled rows of both kinds every score is 0; an empty table gives no
+without labelled rows of both kinds, or without a telling feature, every score
+is 0 (to many digits); an empty table gives no
 rows. Other columns are ignored.
 """
 
@@ -40,10 +41,11 @@ LEET = {
 }
 _SEPARATORS = " .-_*'`~^·•,/\\"
 #: Channel costs (nats) of reading a sign as a letter, and of dropping a
-#: separator or a repeated letter.
-COST_LEET, COST_KEEP, COST_DROP, COST_REPEAT = 1.0, 3.0, 0.3, 0.3
+#: separator, the second or a further one of equal letters.
+COST_LEET, COST_KEEP, COST_DROP, COST_SECOND, COST_REPEAT = 1.0, 5.0, 0.3, 1.5, 0.1
 
 _EDGE = "\"'`.,;:?%&*#)(]}[{>“”„«»…!-_~^/\\|"
+_FRONT = "".join(c for c in _EDGE if c not in LEET)
 _SUSPECT = re.compile(r"(?i)(.)\1\1|[a-zß-ÿ][0-9@$!|+({<€£¡¢.\-_*'`~^·•/\\]+[a-zß-ÿ]|^[0-9@$!|+({<€£¡¢]+[a-zß-ÿ]|[a-zß-ÿ][0-9@$€£¢]+$")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€£])(?:[ ._*\-]{1,2}(?:[^\W_]|[@$!|+€£])){3,}(?!\S)")
 #: More than four of a letter say what four say.
@@ -104,30 +106,29 @@ def restore(word: str, cost: np.ndarray) -> str:
     the lattice of its characters; a state is the last two symbols."""
     border = (_BORDER, _BORDER)
     states: dict[tuple, tuple[float, str]] = {border: (0.0, "")}
-    before = ""
+    before = earlier = ""
     for c in word:
+        again = COST_REPEAT if c == earlier else COST_SECOND
         choices: list[tuple[str, float]] = []
         if c in _SYMBOL:
             choices.append((c, 0.0))
             if c == before:
-                choices.append(("", COST_REPEAT))
+                choices.append(("", again))
         else:
             choices += [(x, COST_LEET) for x in LEET.get(c, "")]
             choices.append((" " if c == " " else c, COST_KEEP if c != " " else 1.0))
             if c in _SEPARATORS:
                 choices.append(("", COST_DROP))
             elif c == before:
-                choices.append(("", COST_REPEAT))
-        before = c
+                choices.append(("", again))
+        earlier, before = before, c
         after: dict[tuple, tuple[float, str]] = {}
         for (a, b), (so_far, text) in states.items():
             for x, price in choices:
                 if x == "":
                     to, total, grown = (a, b), so_far + price, text
                 else:
-                    s = _SYMBOL.get(x, _BORDER)
-                    if x == c == " ":
-                        s = _BORDER
+                    s = _BORDER if x == " " else _SYMBOL.get(x, _OTHER)
                     to, total, grown = (b, s), so_far + price + cost[a, b, s], text + x
                 known = after.get(to)
                 if known is None or total < known[0] - 1e-12:
@@ -153,11 +154,14 @@ class Restorer:
     def word(self, raw: str) -> tuple[str, ...]:
         found = self.cache.get(raw)
         if found is None:
-            word = raw.rstrip(_EDGE).lstrip(_EDGE.replace("!", "").replace("|", "").replace("(", "").replace("{", ""))
-            if _SUSPECT.search(word):
-                short = _RUN.sub(r"\1\1\1\1", word)
-                word = " ".join(restore(piece, self.cost) for piece in _windows(short, LONGEST))
-            found = tuple(x for x in re.split(r"[^\w]+", word) if x)
+            # A sign at the front may be punctuation or a letter.
+            parts: dict[str, None] = {}
+            for word in dict.fromkeys((raw.strip(_EDGE), raw.rstrip(_EDGE).lstrip(_FRONT))):
+                if _SUSPECT.search(word):
+                    short = _RUN.sub(r"\1\1\1\1", word)
+                    word = " ".join(restore(piece, self.cost) for piece in _windows(short, LONGEST))
+                parts.update(dict.fromkeys(x for x in re.split(r"[^\w]+", word) if x))
+            found = tuple(parts)
             if len(self.cache) >= self.limit:
                 self.cache.clear()
             self.cache[raw] = found
@@ -212,8 +216,13 @@ class Model:
 #: Most labelled rows that the classifier is fitted on, of each label; the rows
 #: with the smallest hashes of their ids are taken.
 TRAIN_ROWS = 4000
-#: Most features, and least toxic rows and log odds that a feature needs.
-MAX_FEATURES, LEAST_ROWS, LEAST_ODDS = 20_000, 3, 1.0
+#: Most features; least toxic rows, their share of all toxic rows, and log odds
+#: that a feature needs.
+MAX_FEATURES, LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 20_000, 3, 0.004, 2.0
+
+
+#: Base of a model that has learnt nothing.
+NONE = -500.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
@@ -237,11 +246,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     size = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = size.get(0, 0), size.get(1, 0)
     if not clean or not toxic:
-        return Model(cost, {}, -500.0 if not toxic else 0.0)
+        return Model(cost, {}, NONE)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     counts = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    strong = counts.filter((F.col("t") >= LEAST_ROWS) & (odds >= LEAST_ODDS)).orderBy(F.desc("t"), "feature").limit(MAX_FEATURES)
+    strong = counts.filter((F.col("t") >= max(LEAST_ROWS, LEAST_SHARE * toxic)) & (odds >= LEAST_ODDS)).orderBy(F.desc("t"), "feature").limit(MAX_FEATURES)
     names = [r.feature for r in strong.select("feature").collect()]
+    if not names:
+        return Model(cost, {}, NONE)
     place = {f: i for i, f in enumerate(names)}
 
     def active(batches):
@@ -254,26 +265,33 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     return Model(cost, {f: float(w) for f, w in zip(names, weights, strict=True) if w > 0}, base)
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, n: int, decay: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression with weights of at least zero, by projected gradients
-    scaled a feature at a time; both labels weigh alike."""
+def _logistic(rows: list[np.ndarray], y: np.ndarray, n: int, decay: float = 1e-5, steps: int = 800, rate: float = 0.03) -> tuple[np.ndarray, float]:
+    """Logistic regression with weights of at least zero by projected Adam steps;
+    both labels weigh alike. The last weight is the base."""
     order = np.lexsort(([len(r) for r in rows], [r.sum() for r in rows], y))  # the same sums whatever the rows' order
     rows, y = [rows[i] for i in order], y[order]
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
-    w, base = np.zeros(n), -3.0
-    seen, base_seen = np.full(n, 1e-8), 1e-8
-    for _ in range(steps):
-        z = base + np.bincount(row, w[col], len(y))
+    w, mean, square = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+    w[n] = -3.0
+    floor = np.append(np.zeros(n), -np.inf)
+    for step in range(1, steps + 1):
+        z = w[n] + np.bincount(row, w[col], len(y))
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.bincount(col, error[row], n) + decay * w / max(1, n) ** 0.5
-        seen += grad**2
-        w = np.maximum(0.0, w - 0.5 * grad / np.sqrt(seen))
-        g = error.sum()
-        base_seen += g * g
-        base -= 0.5 * g / math.sqrt(base_seen)
-    return w, float(base)
+        grad = np.append(np.bincount(col, error[row], n), error.sum()) + decay * w
+        mean = 0.9 * mean + 0.1 * grad
+        square = 0.999 * square + 0.001 * grad**2
+        w = np.maximum(floor, w - rate * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.999**step)) + 1e-9))
+    w, base = w[:n], w[n]
+    if len(y) < 2:
+        return w, float(base)
+    # The score 0.5 lies in the middle of the best gap between the labels.
+    z = base + np.bincount(row, w[col], len(y))
+    place = np.argsort(z, kind="stable")
+    right = np.cumsum(np.where(y[place] > 0, -weight[place], weight[place]))
+    at = int(np.argmax(right[:-1]))
+    return w, float(base - z[place[at : at + 2]].mean()) if z[place[at]] < z[place[at + 1]] else float(base)
 
 
 def held_out(folds: int = 5):

@@ -294,7 +294,7 @@ def _scorer(spark, docs, labels):
 def test_toxicity(spark, docs, none):
     rnd = random.Random(2)
     words = [f"{a}{b}{c}" for a in ("ba", "lo", "ti", "ren") for b in ("mo", "la", "ke") for c in ("n", "ra", "st")]
-    rows = [(i, " ".join(rnd.choices(words, k=40)) + (" you horrid wretch " if i % 3 == 0 else " ")) for i in range(300)]
+    rows = [(i, " ".join(rnd.choices(words, k=40)) + ((" you horrid one " if i % 2 else " you wretch ") if i % 3 == 0 else " ")) for i in range(300)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, toxic int")
     score = _scorer(spark, table(spark, rows), labels)
     clean = " ".join(words)
@@ -359,6 +359,8 @@ def test_templates(spark):
     rows = [row(i, "Big.example" if i % 2 else "big.example") for i in range(40)] + [row(100, "lone.example"), (200, None, "<p>x</p>"), (None, "bad url", None), (100, "https://lone.example/p100", "<p>same id</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("classes", F.lit(1)).repartition(4)
     got = pages.extract(df).collect()
+    dealt = pages.extract(df, broadcast_bytes=0).collect()  # the same without a broadcast
+    assert sorted(map(repr, dealt)) == sorted(map(repr, got))
     texts = {}
     for r in got:
         texts.setdefault(r.page_id, []).append(r.text)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import prompts
 from marlstone.functions.text import normalize_objects, parse_response
+from marlstone.schemas import EXTRACTION, FULL_LABEL, MATERIAL_LABEL
 
 
 class TooLong(Exception):
@@ -115,14 +116,10 @@ def extracted_objects(captioned: DataFrame, name: str = "rule", image: str = "im
     """Captioned images with their normalised objects; none on failure."""
     asked = captioned.withColumn("_prompt", prompts.extraction(F.col("caption")))
     raw = respond(asked, name, "_prompt", image, "_raw", schema="objects", **more)
-    objects = normalize_objects(parse_response(F.col("_raw"), "objects array<string>")["objects"])
+    objects = normalize_objects(parse_response(F.col("_raw"), EXTRACTION)["objects"])
     return raw.withColumn("objects", F.coalesce(objects, F.array().cast("array<string>"))).drop("_prompt", "_raw")
 
 
-_LABEL = "nature_reasoning string, nature string, sub_axes_reasoning string, life_category string, tangibility string"
-_MATERIAL = "reasoning string, tangibility string"
-
-
 def labelled_objects(objects: DataFrame, name: str = "rule", image: str = "image_path", **more) -> DataFrame:
     """Objects (image, obj_idx, object, mapped, map_nature, map_biotic) with a raw
     label: unmapped ones get the full question, mapped nature the one about the
@@ -136,11 +133,11 @@ def labelled_objects(objects: DataFrame, name: str = "rule", image: str = "image
         return rows.select(*objects.columns, F.struct(reasoning.alias("reasoning"), nat.alias("nature"), bio.alias("biotic"), mat.alias("material"), failed.alias("parse_failed"), called.alias("vlm_called")).alias("label"))
 
     full = respond(objects.filter(~mapped).withColumn("_prompt", prompts.full_label(F.col("object"))), name, "_prompt", image, "_raw", prompts.system("full"), "label", **more)
-    full = full.withColumn("_r", parse_response(F.col("_raw"), _LABEL))
+    full = full.withColumn("_r", parse_response(F.col("_raw"), FULL_LABEL))
     why = F.nullif(F.concat_ws(" ", F.nullif("_r.nature_reasoning", F.lit("")), F.nullif("_r.sub_axes_reasoning", F.lit(""))), F.lit(""))
     one = label(full, why, F.col("_r.nature"), F.col("_r.life_category"), F.col("_r.tangibility"), F.col("_r").isNull(), F.lit(True))
     part = objects.filter(mapped & nature).withColumn("_prompt", prompts.material_label(F.col("object"), F.col("map_biotic")))
-    part = respond(part, name, "_prompt", image, "_raw", prompts.system("material"), "material", **more).withColumn("_r", parse_response(F.col("_raw"), _MATERIAL))
+    part = respond(part, name, "_prompt", image, "_raw", prompts.system("material"), "material", **more).withColumn("_r", parse_response(F.col("_raw"), MATERIAL_LABEL))
     two = label(part, F.nullif("_r.reasoning", F.lit("")), none, none, F.col("_r.tangibility"), F.col("_r").isNull(), F.lit(True))
     three = label(objects.filter(mapped & ~nature), none, none, none, none, F.lit(False), F.lit(False))
     return one.unionByName(two).unionByName(three)

@@ -14,12 +14,10 @@ from marlstone.functions import prompts
 from marlstone.functions.labels import hybrid_label, label_to_bool
 from marlstone.functions.text import parse_response
 from marlstone.operators import annotate, embeddings, matching, metrics
+from marlstone.schemas import FINALS, FULL_LABEL, LABELS
 from marlstone.session import cut
 
 AXES = ("nature", "biotic", "material")
-_LABELS = "array<struct<reasoning:string,nature:string,biotic:string,material:string,parse_failed:boolean,vlm_called:boolean>>"
-_FINALS = "array<struct<object:string,mapped:boolean,mapped_synset:string,final_nature:boolean,final_biotic:boolean,final_material:boolean,nature_source:string,biotic_source:string,material_source:string>>"
-_FULL = "nature string, life_category string, tangibility string"
 
 
 def _field(name: str):
@@ -41,7 +39,7 @@ def infer(images: DataFrame, vocabulary: DataFrame, resolved: DataFrame, name: s
     # An image has as many objects as its caption names.
     nested = rows.groupBy("image_path").agg(F.sort_array(F.collect_list("o")).alias("o"))
     out = seen.select("image_path", "targets", "caption").join(nested, "image_path", "left")
-    fields = (("object", "objects", "array<string>"), ("label", "object_labels", _LABELS), ("final", "object_finals", _FINALS))
+    fields = (("object", "objects", "array<string>"), ("label", "object_labels", LABELS), ("final", "object_finals", FINALS))
     return cut(out.select("image_path", "targets", "caption", *[F.coalesce(F.transform("o", _field(k)), F.from_json(F.lit("[]"), t)).alias(n) for k, n, t in fields]), "records")
 
 
@@ -110,7 +108,7 @@ def calibrate(pairs: DataFrame, name: str = "rule", **more) -> DataFrame:
     the true class, and parse_failed; sub-axes count for nature alone."""
     asked = pairs.filter("gt_nature IS NOT NULL").withColumn("_prompt", prompts.full_label(F.col("class_name")))
     raw = annotate.respond(asked, name, "_prompt", "image_path", "_raw", prompts.system("full"), "label", **more)
-    r = raw.withColumn("_r", parse_response(F.col("_raw"), _FULL))
+    r = raw.withColumn("_r", parse_response(F.col("_raw"), FULL_LABEL))
     nature = label_to_bool(F.col("_r.nature"), "nature")
     r = r.withColumn("pred_nature", nature).withColumn("parse_failed", F.col("_r").isNull())
     for axis, field in (("biotic", "life_category"), ("material", "tangibility")):

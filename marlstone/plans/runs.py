@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from marlstone.operators import inference, metrics
 from marlstone.plans.registry import query
 from marlstone.plans.scoring import _candidates, _confusion_sql, rounded
+from marlstone.schemas import TARGETS
 from marlstone.session import table
 
-_TARGET = "array<struct<class_name:string,synset_id:string,gt_nature:boolean,gt_biotic:boolean,gt_material:boolean>>"
-
 
 def _noun():
     return F.split_part("p_name", F.lit(" "), F.lit(2))
@@ -24,7 +23,7 @@ def part_records(spark: SparkSession, d: str) -> DataFrame:
     nature = F.when(k % 7 != 0, k % 3 != 0)
     target = F.struct(_noun().alias("class_name"), F.lit("").alias("synset_id"), nature.alias("gt_nature"), F.when(nature, k % 2 == 0).alias("gt_biotic"), F.when(nature, F.lit(True)).alias("gt_material"))
     part = table(spark, d, "part")
-    images = part.select(F.concat("p_name", F.lit(" x"), k.cast("string")).alias("image_path"), F.array(target).cast(_TARGET).alias("targets"))
+    images = part.select(F.concat("p_name", F.lit(" x"), k.cast("string")).alias("image_path"), F.array(target).cast(TARGETS).alias("targets"))
     nouns = part.select(_noun().alias("lemma")).distinct().filter("lemma <> 'bolt'").withColumn("node", F.concat(F.lit("w_"), "lemma"))
     resolved = nouns.select("node", F.col("lemma").isin("ring", "widget").alias("is_nature"), F.when(F.col("lemma") == "ring", "biotic").alias("life_category"))
     return inference.infer(images, nouns, resolved)

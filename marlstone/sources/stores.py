@@ -8,15 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import model_slug
+from marlstone.schemas import HEADER, RECORD
 from marlstone.session import delete, exists, scratch
 
-RECORD = (
-    "record_type string, image_path string, targets array<struct<class_name:string,synset_id:string,gt_nature:boolean,gt_biotic:boolean,gt_material:boolean>>, "
-    "caption string, objects array<string>, object_labels array<struct<reasoning:string,nature:string,biotic:string,material:string,parse_failed:boolean,vlm_called:boolean>>, "
-    "object_finals array<struct<object:string,mapped:boolean,mapped_synset:string,final_nature:boolean,final_biotic:boolean,final_material:boolean,nature_source:string,biotic_source:string,material_source:string>>"
-)
-HEADER = "record_type string, dataset string, model string, max_hops int, candidate_vocab string, inference_time_seconds double"
-
 
 def _lines(rows: DataFrame, kind: str) -> DataFrame:
     # A shadowing record_type column would be written twice.

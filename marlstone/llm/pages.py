@@ -38,7 +38,7 @@ MIN_TOKENS, MIN_PAGES, MIN_SHARE = 3, 3, 0.05
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br script style noscript template iframe object svg math canvas audio video button select textarea input".split()
 )
 _NOT_TEXT = frozenset(
     "head title script style noscript template iframe object svg math canvas audio video nav footer aside form button select option textarea input fieldset dialog menu".split()
@@ -58,6 +58,11 @@ _APART = re.compile(
     r"comments?|commentlist|replies|disqus|footer|masthead|site-header|page-header|topbar|toolbar|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|widget|pagination|pager|skip-link|outbrain|taboola)(?:$|[\s_-])"
 )
 
+_COMMENT = re.compile(r"(?i)(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])")
+_WHOLE = frozenset(("html", "body", "main", "article"))
+#: What ends each raw element.
+_RAW_END = {name: re.compile(rf"(?i)</{name}(?=[\s/>])[^>]*(?:>|\Z)") for name in _RAW}
+
 
 class Node:
     """An open element and what its text counts as."""
@@ -68,9 +73,6 @@ class Node:
         self.name, self.path, self.apart, self.article = name, path, apart, article
 
 
-_PLAIN: dict[str, tuple[str, str, bool]] = {}
-
-
 def _describe(raw: str, name: str) -> tuple[str, bool, bool]:
     """Class and id for the path, whether the element stands apart from the
     main text, and whether it is the article."""
@@ -80,7 +82,8 @@ def _describe(raw: str, name: str) -> tuple[str, bool, bool]:
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 mark += f"{'.' if key == 'class' else '#'}{value}"
-                apart = apart or name not in ("html", "body") and bool(_APART.search(value))
+                # An article is apart as a comment alone, whatever else its classes say.
+                apart = apart or bool((_COMMENT if name in _WHOLE else _APART).search(value))
             elif key == "role":
                 apart = apart or value.lower() in _ROLES
                 article = article or value.lower() in ("main", "article")
@@ -106,19 +109,16 @@ class Page:
         self.tokens: list[int] = []
         self.texts: list[tuple[int, str, int, bool, bool]] = []
         stack = [Node("", 0, False, False)]
-        block, raw_until, sealed = 0, None, 0
-        for m in _TOKEN.finditer(source):
-            token = m[0]
+        block, raw_until, at = 0, None, 0
+        while at < len(source):
+            # Inside a raw element all is its text up to its end tag.
+            m = _TOKEN.match(source, at) if raw_until is None else _RAW_END[raw_until].search(source, at)
+            if m is None:
+                break
+            raw_until, at, token = None, m.end(), m[0]
             tag = _TAG.match(token) if token[0] == "<" else None
-            if raw_until is not None:
-                # Inside a raw element all is its text up to its end tag.
-                if tag is None or not tag[1] or tag[2].lower() != raw_until:
-                    continue
-                raw_until = None
             if tag is None:
                 if token[0] == "<" and len(token) > 1:
-                    if token.startswith("<![CDATA["):
-                        continue
                     continue
                 top = stack[-1]
                 if token.isspace():

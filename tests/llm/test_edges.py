@@ -347,6 +347,8 @@ def test_main_text():
     assert text(_page("<article><h1>T&eacute;</h1><p>a <b>b</b>c\n d&nbsp;e<p>next<br>line</article>")) == "Té\na bc d e\nnext line"
     assert text(_page("<article><p>one</p><aside>no</aside><div class='ad'>buy</div><form>in<input></form><ul><li>x<li>y</ul></article><section id='comments'><article><p>me too</p></article></section>")) == "one\nx\ny"
     assert text(_page("<header>site</header><div class='sidebar'>s</div><div><p>a &lt; b</p><p>5 < 6 & 7</p></div><div class='cookie-notice'>ok?</div>")) == "a < b\n5 < 6 & 7"
+    assert text("<article class='post ad-free'><p>a<script>if (a<b) w('</p>')</SCRIPT >b</p><article class='comment'>c</article><p>d<style>x") == "ab\nd"
+    assert text("<ARTICLE><TABLE><TR><TD>a</TD><TD>b<TR><TD>c</TABLE><pre> x\n y </pre><figure><figcaption>f</figcaption></figure><footer>by</footer></ARTICLE>") == "a\nb\nc\nx y\nf"
     assert text("<p>cut off <b>in the mid") == "cut off in the mid"
     assert text("<div hidden>x</div><div role=navigation>y</div><div style='display:none'>z</div><p>seen</p><!-- no --><style>p{}</style>") == "seen"
 

@@ -102,7 +102,8 @@ def nearest_labels(sources: DataFrame, edges: DataFrame, labels: DataFrame, max_
         front = front.join(hits.select("src"), "src", "left_anti")
         reach = front.join(step, "node").join(seen.withColumnRenamed("node", "neighbour"), ["src", "neighbour"], "left_anti")
         first = reach.groupBy("src", F.col("neighbour").alias("node")).agg(F.min(F.struct("ord", "dir", "edge_seq")).alias("way"))
-        front = first.select("src", "node", F.row_number().over(Window.partitionBy("src").orderBy("way")).alias("ord"))
+        # Written, as a level has three readers and each would run all levels before.
+        front = cut(first.select("src", "node", F.row_number().over(Window.partitionBy("src").orderBy("way")).alias("ord")), "front")
         seen = seen.unionByName(front.select("src", "node"))
     of = known.withColumnRenamed("node", "resolved_node")
     return found.withColumnRenamed("src", "node").join(of, "resolved_node").select("node", "resolved_node", "hops", *[c for c in known.columns if c != "node"])

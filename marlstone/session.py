@@ -24,9 +24,18 @@ def build_session(app: str = "marlstone", **conf: str) -> SparkSession:
     return builder.config(map=settings | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
 
 
+#: Arrow batches, where the session doesn't say: a batch exists in the JVM, on
+#: its way and in the worker, for each core of an executor.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2500", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608b"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once a context."""
+    """Give the executors' Python workers this package, once a context, and
+    batches of moderate size."""
     sc, here = spark.sparkContext, Path(__file__).parent
+    for name, value in BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     if getattr(sc, "_marlstone_shipped", False) or not here.is_dir():
         return
     folder = tempfile.mkdtemp(prefix="marlstone-")

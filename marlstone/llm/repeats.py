@@ -35,8 +35,10 @@ from marlstone.llm.common import BLOCK_BYTES, cut, mix64, packed, partitions, po
 from marlstone.llm.suffix import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 32
+#: Bytes of text whose runs are reduced at a time.
+REDUCE_BYTES = 1 << 23
 #: Bytes that a suffix array is built over, but for a shard that is larger.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 #: Strings of a gram beyond which it is split.
 SPLIT = 1 << 20
 _NO = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -137,7 +139,7 @@ def document_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     """kind 0: a run, the batch's first of its content; kind 1: covered bytes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in rows_of(whole, REDUCE_BYTES)):
             ids, valid = _ids(batch.column("doc_id"))
             tie = batch.column("tie").to_numpy(zero_copy_only=False)
             rank = _document_order(ids, valid, tie)
@@ -248,15 +250,16 @@ def repeated_strings(pieces: list[bytes], rank: np.ndarray, start: np.ndarray, l
     """(piece, first, stop) of runs of strings that another piece or place holds
     earlier, where ``rank`` orders the pieces' documents."""
     sizes = np.array([len(p) for p in pieces]) + 1
-    text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64) + 2
+    text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int32) + 2
     ends = np.cumsum(sizes)
     text[ends - 1] = 1
-    whole = np.append(text, 0)
+    whole = np.append(text, np.int32(0))
     begin = ends - sizes
-    piece = np.repeat(np.arange(len(pieces)), sizes)
-    inside = np.arange(len(text)) - begin[piece]
-    full = np.append(inside + length < sizes[piece], False)
+    del text
     sa = suffix_array(whole, 258)
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+    inside = np.arange(len(piece), dtype=np.int32) - begin.astype(np.int32)[piece]
+    full = np.append(inside + length < sizes[piece], False)
     sa = sa[full[sa]]  # what stands between equal strings is long enough itself
     if not len(sa):
         empty = np.zeros(0, np.int64)

@@ -149,7 +149,7 @@ class Restorer:
 
     cost: np.ndarray
     cache: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    limit: int = 200_000
+    limit: int = 100_000
 
     def word(self, raw: str) -> tuple[str, ...]:
         found = self.cache.get(raw)

@@ -8,9 +8,14 @@ and no task ever holds a host's pages. A class is large enough when it has
 MIN_TOKENS tokens on MIN_PAGES pages; the class on most pages is the template's
 root and other valid classes nest between its tokens. A class counts on a page
 only where its tokens stand in the class's order. What no template token covers
-are the slots. The text of slots in the article is kept; a page without an
-article keeps the slots outside of menus, headers, footers, sidebars, notices,
-adverts, forms and comments.
+are the slots. Marks only choose among them: the text of slots in the article is
+kept; a page without an article keeps the slots outside of menus, headers,
+footers, sidebars, notices, adverts, forms and comments.
+
+Constant text is content where deduction shows it: in an article, text of a
+class on at most half of the host's pages counts as a slot if its element holds
+varying text elsewhere on the host (copied articles, repeated paragraphs).
+Where nothing else would be left, the class on fewest pages is content.
 
 Defined results: null html gives empty text; pages without a host (null or
 malformed url) share one nameless host; rows that share a page_id are pages of
@@ -28,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, rows_of
+from marlstone.llm.common import cut, drop_cut, rows_of
 
 #: Least tokens of a class, and least pages (and share of the host's) that it
 #: is on: what makes a class large and frequent.
@@ -102,12 +107,14 @@ class Page:
     """Tokens of a page in order.
 
     ``tokens``: hash of each token; ``texts``: (index of its token, text, block
-    number, stands apart, in the article).
+    number, stands apart, in the article); ``elements``: path of the element
+    that each text token stands in.
     """
 
     def __init__(self, source: str):
         self.tokens: list[int] = []
         self.texts: list[tuple[int, str, int, bool, bool]] = []
+        self.elements: dict[int, int] = {}
         stack = [Node("", 0, False, False)]
         block, raw_until, at = 0, None, 0
         while at < len(source):
@@ -127,6 +134,7 @@ class Page:
                     continue
                 self.texts.append((len(self.tokens), token, block, top.apart, top.article))
                 self.tokens.append(_hash("t", top.path, token.strip()))
+                self.elements[self.tokens[-1]] = top.path
                 continue
             name = tag[2].lower()
             if tag[1]:
@@ -178,9 +186,13 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
+def _signed(t: int | None) -> int | None:
+    return t - (1 << 64) if t is not None and t >> 63 else t
+
+
 def token_vectors(pages: DataFrame) -> DataFrame:
-    """host, token, pages it is on, signature of its occurrence vector, and mean
-    place; added up over a batch, then by key."""
+    """host, token, pages it is on, signature of its occurrence vector, mean
+    place, and the element of a text; added up over a batch, then by key."""
 
     def run(batches):
         for batch in batches:
@@ -188,7 +200,8 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                 total: dict[tuple[str, int], list[int]] = {}
                 for host, key, source in zip(*(part.column(c).to_pylist() for c in ("host", "page_key", "html")), strict=True):
                     own: dict[int, list[int]] = {}
-                    for i, t in enumerate(Page(source or "").tokens):
+                    page = Page(source or "")
+                    for i, t in enumerate(page.tokens):
                         if (seen := own.get(t)) is None:
                             own[t] = [1, i]
                         else:
@@ -197,46 +210,57 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                         # Vectors are compared by sums of hashes of (page, count).
                         sign = xxhash.xxh3_64_intdigest(b"%d:%d" % (key, n)) >> 16
                         if (row := total.get((host, t))) is None:
-                            total[host, t] = [1, sign, i]
+                            total[host, t] = [1, sign, i, _signed(page.elements.get(t))]
                         else:
                             row[0] += 1
                             row[1] += sign
                             row[2] += i
                 if total:
-                    rows = [(h, t - (1 << 64) if t >> 63 else t, *v) for (h, t), v in total.items()]
-                    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], ["host", "token", "pages", "sign", "place"])
+                    rows = [(h, _signed(t), *v) for (h, t), v in total.items()]
+                    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], ["host", "token", "pages", "sign", "place", "element"])
 
-    found = pages.mapInArrow(run, "host string, token long, pages long, sign long, place long")
-    return found.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum(F.col("sign").cast("decimal(38,0)")).alias("sign"), F.sum("place").alias("place"))
+    found = pages.mapInArrow(run, "host string, token long, pages long, sign long, place long, element long")
+    return found.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum(F.col("sign").cast("decimal(38,0)")).alias("sign"), F.sum("place").alias("place"), F.max("element").alias("element"))
 
 
 def templates(vectors: DataFrame, sizes: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host and its classes: arrays of tokens in order of their mean place, the
-    class on most pages (and of most tokens) first. ``sizes`` has each host's
-    number of pages.
+    """host and its classes, the class on most pages (and of most tokens) first:
+    tokens in order of their mean place, whether each is a text whose element
+    holds varying text elsewhere, and whether the class is on most of the host's
+    pages. ``sizes`` has each host's number of pages; ``vectors`` is read twice.
 
     A class holds at most the tokens of one page, and the share of pages bounds
     the classes of a host by the tokens of 1 / min_share pages.
     """
     often = vectors.filter(F.col("pages") >= min_pages).join(sizes, "host").filter(F.col("pages") >= min_share * F.col("host_pages"))
-    member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token")
-    classes = often.groupBy("host", "sign", "pages").agg(F.sort_array(F.collect_list(member)).alias("members")).filter(F.size("members") >= min_tokens)
-    rank = F.struct((-F.col("pages")).alias("pages"), (-F.size("members")).alias("size"), F.transform("members", lambda m: m["token"]).alias("tokens"))
+    varying = vectors.filter((F.col("pages") < min_pages) & F.col("element").isNotNull()).select("host", "element").distinct().withColumn("varies", F.lit(True))
+    often = often.join(varying, ["host", "element"], "left")
+    member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", F.coalesce("varies", F.lit(False)).alias("varies"))
+    classes = often.groupBy("host", "sign", "pages", "host_pages").agg(F.sort_array(F.collect_list(member)).alias("members")).filter(F.size("members") >= min_tokens)
+    rank = F.struct(
+        (-F.col("pages")).alias("pages"), (-F.size("members")).alias("size"), F.transform("members", lambda m: m["token"]).alias("tokens"),
+        F.transform("members", lambda m: m["varies"]).alias("varies"), (2 * F.col("pages") > F.col("host_pages")).alias("common"),
+    )
     top = classes.groupBy("host").agg(F.sort_array(F.collect_list(rank)).alias("classes"))
-    return top.select("host", F.transform("classes", lambda c: c["tokens"]).alias("classes"))
+    return top.select("host", F.transform("classes", lambda c: c.dropFields("pages", "size")).alias("classes"))
 
 
 def template_tokens(tokens: list[int], classes: list[list[int]]) -> np.ndarray:
-    """Flags of the page's tokens that valid classes cover: a class is valid on
-    the page where its tokens occur equally often, each round in order; later
-    classes must nest between two tokens of the root."""
-    flags = np.zeros(len(tokens), bool)
+    """Flags of the page's tokens that valid classes cover."""
+    return covering(tokens, classes) >= 0
+
+
+def covering(tokens: list[int], classes: list[list[int]]) -> np.ndarray:
+    """The valid class that covers each of the page's tokens, or -1: a class is
+    valid on the page where its tokens occur equally often, each round in order;
+    later classes must nest between two tokens of the root."""
+    owner = np.full(len(tokens), -1)
     at: dict[int, list[int]] = {}
     for i, t in enumerate(tokens):
         at.setdefault(t, []).append(i)
     root: list[int] = []
-    for members in classes:
+    for c, members in enumerate(classes):
         places = [at.get(t & 0xFFFFFFFFFFFFFFFF) for t in members]
         if any(p is None for p in places) or len({len(p) for p in places}) != 1:
             continue
@@ -249,22 +273,26 @@ def template_tokens(tokens: list[int], classes: list[list[int]]) -> np.ndarray:
                 continue
         else:
             root = flat
-        flags[flat] = True
-    return flags
+        owner[flat] = c
+    return owner
 
 
-def main_text(source: str | None, classes: list[list[int]]) -> str:
+def main_text(source: str | None, classes: list[dict]) -> str:
     page = Page(source or "")
     if not page.texts:
         return ""
     in_article = any(article and not apart and text.strip() for _, text, _, apart, article in page.texts)
-    if in_article:
-        return _join([(b, t) for _, t, b, apart, article in page.texts if article and not apart])
-    kept = [x for x in page.texts if not x[3]]
-    flags = template_tokens(page.tokens, classes) if classes else np.zeros(len(page.tokens) + 1, bool)
-    slots = [(b, t) for i, t, b, _, _ in kept if t.isspace() or not flags[i]]
-    # All of a page may be constant, as among copies: then it is all slot.
-    return _join(slots) or _join([(b, t) for _, t, b, _, _ in kept])
+    kept = [(i, t, b) for i, t, b, apart, article in page.texts if not apart and (article or not in_article)]
+    owner = covering(page.tokens, [c["tokens"] for c in classes])
+    content = {t & 0xFFFFFFFFFFFFFFFF for c in classes if not c["common"] for t, v in zip(c["tokens"], c["varies"], strict=True) if v} if in_article else ()
+    # The class that takes each text, -1 for slots.
+    taken = [-1 if t.isspace() or page.tokens[i] in content else int(owner[i]) for i, t, _ in kept]
+    # All of a page may be constant, as among copies: then its rarest class is slot.
+    for least in [len(classes), *sorted({c for c in taken if c >= 0}, reverse=True)]:
+        text = _join([(b, t) for c, (_, t, b) in zip(taken, kept, strict=True) if c < 0 or c >= least])
+        if text:
+            return text
+    return ""
 
 
 def _join(parts: list[tuple[int, str]]) -> str:
@@ -291,7 +319,7 @@ def with_templates(rows: DataFrame, deduced: DataFrame, broadcast_bytes: int = B
     """Rows (host, page_key) with their host's classes. Templates of a measured
     size are broadcast, so html stays where it is; larger ones are copied to
     PARTS parts of each host, so a hot host's pages spread over as many tasks."""
-    held = F.aggregate("classes", F.lit(64).cast("long"), lambda n, c: n + 16 + 8 * F.size(c))
+    held = F.aggregate("classes", F.lit(64).cast("long"), lambda n, c: n + 32 + 9 * F.size(c["tokens"]))
     size = deduced.agg(F.sum(held).alias("n")).first().n or 0
     if size <= broadcast_bytes:
         return rows.join(F.broadcast(deduced), "host", "left")
@@ -304,7 +332,9 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     rows = rows.withColumn("page_key", F.xxhash64("page_id", "url", "html"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
-    deduced = cut(templates(token_vectors(rows.select("host", "page_key", "html")), sizes, min_tokens, min_pages, min_share), "templates")
+    vectors = cut(token_vectors(rows.select("host", "page_key", "html")), "token_vectors")
+    deduced = cut(templates(vectors, sizes, min_tokens, min_pages, min_share), "templates")
+    drop_cut(vectors)
 
     def run(batches):
         for batch in batches:

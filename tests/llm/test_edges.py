@@ -376,6 +376,23 @@ def test_templates(spark):
     assert {r.text for r in pages.extract(copies).collect()} == {"all the same"}
 
 
+def test_templates_in_articles(spark):
+    """Constant text of a host's template goes from articles too; copied and
+    repeated paragraphs stay."""
+    copied = "".join(f"<p>copied {k}</p>" for k in range(5))
+
+    def row(i):
+        own = copied if i < 4 else f"<p>story {i} first</p><p>often said</p><p>story {i} second</p>" if i % 3 else f"<p>story {i}</p>"
+        return (i, f"https://big.example/p{i}", f"<html><body><div><span>Site name</span></div><article><h1>Title {i}</h1>{own}<div><a>Read more</a></div><p>All rights reserved</p></article></body></html>")
+
+    df = spark.createDataFrame([row(i) for i in range(40)] + [(i, "https://same.example/", "<html><body><article><h1>One</h1><p>two</p></article></body></html>") for i in range(90, 95)], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text.split("\n") for r in pages.extract(df).collect()}
+    for i in range(40):
+        own = [f"copied {k}" for k in range(5)] if i < 4 else [f"story {i} first", "often said", f"story {i} second"] if i % 3 else [f"story {i}"]
+        assert got[i] == [f"Title {i}", *own]
+    assert got[90] == got[94] == ["One", "two"]
+
+
 def test_template_classes_nest():
     page = pages.Page("<div><i>a</i><ul><li>1</li><li>2</li></ul><b>z</b></div>")
     root = [page.tokens[0], page.tokens[1], page.tokens[-1]]

@@ -15,7 +15,9 @@ footers, sidebars, notices, adverts, forms and comments.
 Constant text is content where deduction shows it: in an article, text of a
 class on at most half of the host's pages counts as a slot if its element holds
 varying text elsewhere on the host (copied articles, repeated paragraphs).
-Where nothing else would be left, the class on fewest pages is content.
+So does, in an article or not, text of a class on less than MIN_SHARE of the
+pages if that element also stands on pages without the class. Where nothing else
+would be left, the class on fewest pages is content.
 
 Defined results: null html gives empty text; pages without a host (null or
 malformed url) share one nameless host; rows that share a page_id are pages of
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import cut, drop_cut, rows_of
 
-#: Least tokens of a class, and least pages (and share of the host's) that it
-#: is on: what makes a class large and frequent.
+#: Least tokens of a class and least pages that it is on, however many the host
+#: has; and the share of them below which its text may be a copied passage.
 MIN_TOKENS, MIN_PAGES, MIN_SHARE = 3, 3, 0.05
 
 # HTML element names.
@@ -225,25 +227,27 @@ def token_vectors(pages: DataFrame) -> DataFrame:
 
 
 def templates(vectors: DataFrame, sizes: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host and its classes, the class on most pages (and of most tokens) first:
-    tokens in order of their mean place, whether each is a text whose element
-    holds varying text elsewhere, and whether the class is on most of the host's
-    pages. ``sizes`` has each host's number of pages; ``vectors`` is read twice.
+    """The classes of hosts, a row each: ``tokens`` in order of their mean place,
+    what ``marks`` each (1: content in an article, 2: content anywhere), and the
+    ``key``, a token that a page with the class has. By ``pages``, ``size`` and
+    ``tokens`` the class on most pages and of most tokens is first. ``sizes`` has
+    each host's number of pages; ``vectors`` is read again for each join.
 
-    A class holds at most the tokens of one page, and the share of pages bounds
-    the classes of a host by the tokens of 1 / min_share pages.
+    A class holds at most the tokens of one page; a host may have any number.
     """
-    often = vectors.filter(F.col("pages") >= min_pages).join(sizes, "host").filter(F.col("pages") >= min_share * F.col("host_pages"))
+    often = vectors.filter(F.col("pages") >= min_pages).join(sizes, "host")
     varying = vectors.filter((F.col("pages") < min_pages) & F.col("element").isNotNull()).select("host", "element").distinct().withColumn("varies", F.lit(True))
-    often = often.join(varying, ["host", "element"], "left")
-    member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", F.coalesce("varies", F.lit(False)).alias("varies"))
-    classes = often.groupBy("host", "sign", "pages", "host_pages").agg(F.sort_array(F.collect_list(member)).alias("members")).filter(F.size("members") >= min_tokens)
-    rank = F.struct(
-        (-F.col("pages")).alias("pages"), (-F.size("members")).alias("size"), F.transform("members", lambda m: m["token"]).alias("tokens"),
-        F.transform("members", lambda m: m["varies"]).alias("varies"), (2 * F.col("pages") > F.col("host_pages")).alias("common"),
+    around = vectors.filter((F.col("pages") >= min_pages) & F.col("element").isNull()).select("host", F.col("token").alias("element"), F.col("pages").alias("element_pages"))
+    often = often.join(varying, ["host", "element"], "left").join(around, ["host", "element"], "left")
+    rare = (F.col("pages") < min_share * F.col("host_pages")) & (F.col("element_pages") > F.col("pages"))
+    mark = F.when(F.col("varies") & rare, 2).when(F.col("varies") & (2 * F.col("pages") <= F.col("host_pages")), 1).otherwise(0)
+    member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", mark.cast("byte").alias("mark"))
+    classes = often.groupBy("host", "sign", "pages").agg(F.sort_array(F.collect_list(member)).alias("members")).filter(F.size("members") >= min_tokens)
+    tokens = F.transform("members", lambda m: m["token"])
+    return classes.select(
+        "host", F.array_min(tokens).alias("key"), (-F.col("pages")).alias("pages"), (-F.size("members")).alias("size"), tokens.alias("tokens"),
+        F.transform("members", lambda m: m["mark"]).alias("marks"),
     )
-    top = classes.groupBy("host").agg(F.sort_array(F.collect_list(rank)).alias("classes"))
-    return top.select("host", F.transform("classes", lambda c: c.dropFields("pages", "size")).alias("classes"))
 
 
 def template_tokens(tokens: list[int], classes: list[list[int]]) -> np.ndarray:
@@ -261,7 +265,7 @@ def covering(tokens: list[int], classes: list[list[int]]) -> np.ndarray:
         at.setdefault(t, []).append(i)
     root: list[int] = []
     for c, members in enumerate(classes):
-        places = [at.get(t & 0xFFFFFFFFFFFFFFFF) for t in members]
+        places = [at.get(int(t) & 0xFFFFFFFFFFFFFFFF) for t in members]
         if any(p is None for p in places) or len({len(p) for p in places}) != 1:
             continue
         flat = [p[r] for r in range(len(places[0])) for p in places]
@@ -277,22 +281,26 @@ def covering(tokens: list[int], classes: list[list[int]]) -> np.ndarray:
     return owner
 
 
-def main_text(source: str | None, classes: list[dict]) -> str:
-    page = Page(source or "")
-    if not page.texts:
-        return ""
+def main_text(source: str | None, classes: list) -> str:
+    return _read(Page(source or ""), classes)[0]
+
+
+def _read(page: Page, classes: list) -> tuple[str, int]:
+    """Text of a page and number of valid classes on it; ``classes`` are pairs of
+    tokens and marks."""
+    owner = covering(page.tokens, [tokens for tokens, _ in classes])
+    valid = len(set(owner.tolist()) - {-1})
     in_article = any(article and not apart and text.strip() for _, text, _, apart, article in page.texts)
     kept = [(i, t, b) for i, t, b, apart, article in page.texts if not apart and (article or not in_article)]
-    owner = covering(page.tokens, [c["tokens"] for c in classes])
-    content = {t & 0xFFFFFFFFFFFFFFFF for c in classes if not c["common"] for t, v in zip(c["tokens"], c["varies"], strict=True) if v} if in_article else ()
+    content = {int(t) & 0xFFFFFFFFFFFFFFFF for tokens, marks in classes for t, m in zip(tokens, marks, strict=True) if m == 2 or m and in_article}
     # The class that takes each text, -1 for slots.
     taken = [-1 if t.isspace() or page.tokens[i] in content else int(owner[i]) for i, t, _ in kept]
     # All of a page may be constant, as among copies: then its rarest class is slot.
     for least in [len(classes), *sorted({c for c in taken if c >= 0}, reverse=True)]:
         text = _join([(b, t) for c, (_, t, b) in zip(taken, kept, strict=True) if c < 0 or c >= least])
         if text:
-            return text
-    return ""
+            return text, valid
+    return "", valid
 
 
 def _join(parts: list[tuple[int, str]]) -> str:
@@ -311,40 +319,64 @@ def _join(parts: list[tuple[int, str]]) -> str:
 
 #: Bytes of templates up to which every task gets them all.
 BROADCAST_BYTES = 16 << 20
-#: Parts that a host's pages are dealt to where there are more templates.
-PARTS = 64
 
 
-def with_templates(rows: DataFrame, deduced: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Rows (host, page_key) with their host's classes. Templates of a measured
-    size are broadcast, so html stays where it is; larger ones are copied to
-    PARTS parts of each host, so a hot host's pages spread over as many tasks."""
-    held = F.aggregate("classes", F.lit(64).cast("long"), lambda n, c: n + 32 + 9 * F.size(c["tokens"]))
-    size = deduced.agg(F.sum(held).alias("n")).first().n or 0
-    if size <= broadcast_bytes:
-        return rows.join(F.broadcast(deduced), "host", "left")
-    copies = deduced.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return rows.withColumn("part", F.pmod("page_key", F.lit(PARTS)).cast("int")).join(copies, ["host", "part"], "left")
+class Templates:
+    """Classes of all hosts in memory, found by the tokens of a page."""
+
+    def __init__(self, rows: list):
+        self.hosts: dict[str, dict[int, tuple]] = {}
+        for r in sorted(rows, key=lambda r: (r.host, r.pages, r.size, r.tokens)):
+            own = self.hosts.setdefault(r.host, {})
+            own[r.key & 0xFFFFFFFFFFFFFFFF] = (len(own), np.array(r.tokens, np.int64), np.array(r.marks, np.int8))
+
+    def on(self, host: str, tokens: list[int]) -> list[tuple]:
+        """Classes whose key is on the page, in order."""
+        own = self.hosts.get(host)
+        return [c[1:] for c in sorted((own[t] for t in own.keys() & set(tokens)), key=lambda c: c[0])] if own else []
+
+
+def keyed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows with the classes whose key is on the page. Pages and classes meet by
+    host and token, so no task ever holds a host's classes."""
+
+    def run(batches):
+        for batch in batches:
+            for part in rows_of(batch, column="html"):
+                found = [[_signed(t) for t in set(Page(h or "").tokens)] for h in part.column("html").to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([part.column("host").take(at), part.column("page_key").take(at), pa.array([t for f in found for t in f], pa.int64())], ["host", "page_key", "key"])
+
+    tokens = rows.select("host", "page_key", "html").mapInArrow(run, "host string, page_key long, key long")
+    met = tokens.join(classes, ["host", "key"]).groupBy("host", "page_key").agg(F.sort_array(F.collect_set(F.struct("pages", "size", "tokens", "marks"))).alias("classes"))
+    return rows.join(met, ["host", "page_key"], "left")
 
 
 def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """page_id, url, text, n_chars and n_classes (of the host's template)."""
+    """page_id, url, text, n_chars and n_classes (of the host's template, valid on
+    the page)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     rows = rows.withColumn("page_key", F.xxhash64("page_id", "url", "html"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
     vectors = cut(token_vectors(rows.select("host", "page_key", "html")), "token_vectors")
     deduced = cut(templates(vectors, sizes, min_tokens, min_pages, min_share), "templates")
     drop_cut(vectors)
+    # Templates of a measured size are broadcast, so html stays where it is.
+    size = deduced.agg(F.sum(128 + 9 * F.size("tokens")).alias("n")).first().n or 0
+    shared = pages.sparkSession.sparkContext.broadcast(Templates(deduced.collect())) if size <= broadcast_bytes else None
+    met = rows.select("page_id", "url", "html", "host") if shared else keyed(rows, deduced).select("page_id", "url", "html", "classes")
 
     def run(batches):
         for batch in batches:
             for part in rows_of(batch, column="html"):
-                known = [c or [] for c in part.column("classes").to_pylist()]
-                texts = [main_text(h, c) for h, c in zip(part.column("html").to_pylist(), known, strict=True)]
+                read = []
+                for source, of in zip(part.column("html").to_pylist(), part.column(3).to_pylist(), strict=True):
+                    page = Page(source or "")
+                    read.append(_read(page, shared.value.on(of, page.tokens) if shared else [(c["tokens"], c["marks"]) for c in of or []]))
+                texts = [t for t, _ in read]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(c) for c in known], pa.int32())],
+                    [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([n for _, n in read], pa.int32())],
                     ["page_id", "url", "text", "n_chars", "n_classes"],
                 )
 
-    met = with_templates(rows, deduced, broadcast_bytes).select("page_id", "url", "html", "classes")
     return met.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_classes int")

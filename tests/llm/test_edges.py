@@ -393,6 +393,26 @@ def test_templates_in_articles(spark):
     assert got[90] == got[94] == ["One", "two"]
 
 
+def test_rare_templates(spark):
+    """Templates of few of a host's pages count too, broadcast or joined; copied
+    passages among as few pages stay."""
+    def row(i):
+        k = i // 4
+        own = f"<div class='s{k}'><span>Section {k}</span></div><div><p>story {i}</p></div><div class='e{k}'><span>Rights of {k}</span></div>"
+        if k == 7:
+            own = f"<div><p>story {i}</p><p>copied a</p><p>copied b</p><p>copied c</p></div>"
+        if k == 8:
+            own = "<div><p>same</p><p>again</p><p>and again</p></div>"
+        return (i, f"https://big.example/p{i}", f"<html><body><div><span>Site name</span></div>{own}</body></html>")
+
+    df = spark.createDataFrame([row(i) for i in range(160)], "page_id long, url string, html string").repartition(4)
+    got = pages.extract(df).collect()
+    assert sorted(map(repr, pages.extract(df, broadcast_bytes=0).collect())) == sorted(map(repr, got))
+    for r in got:
+        own = {7: f"story {r.page_id}\ncopied a\ncopied b\ncopied c", 8: "same\nagain\nand again"}
+        assert r.text == own.get(r.page_id // 4, f"story {r.page_id}"), r
+
+
 def test_template_classes_nest():
     page = pages.Page("<div><i>a</i><ul><li>1</li><li>2</li></ul><b>z</b></div>")
     root = [page.tokens[0], page.tokens[1], page.tokens[-1]]

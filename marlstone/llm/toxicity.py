@@ -4,7 +4,8 @@ A character trigram model is counted over all documents. Words that may hide
 others (leetspeak, separators or spaces between letters, repeated letters) become
 lattices of what each character may stand for, at the cost of the channel; a
 Viterbi search under the character model restores the likeliest text. All other
-words stand for themselves. A logistic model over restored words and their
+words stand for themselves, and so do words with doubled letters beside what is
+restored from them. A logistic model over restored words and their
 beginnings, learnt from labelled rows, scores the restored text.
 
 Defined results: null and empty texts have no features and get the model's base
@@ -47,7 +48,13 @@ COST_LEET, COST_KEEP, COST_DROP, COST_SECOND, COST_REPEAT = 1.0, 5.0, 0.3, 1.5,
 _EDGE = "\"'`.,;:?%&*#)(]}[{>“”„«»…!-_~^/\\|"
 _FRONT = "".join(c for c in _EDGE if c not in LEET)
 _SUSPECT = re.compile(r"(?i)(.)\1\1|[a-zß-ÿ][0-9@$!|+({<€£¡¢.\-_*'`~^·•/\\]+[a-zß-ÿ]|^[0-9@$!|+({<€£¡¢]+[a-zß-ÿ]|[a-zß-ÿ][0-9@$€£¢]+$")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€£])(?:[ ._*\-]{1,2}(?:[^\W_]|[@$!|+€£])){3,}(?!\S)")
+#: Plain words without it need no lattice.
+_TWICE = re.compile(r"(?i)(.)\1")
+_DOUBLED = re.compile(r"([a-zß-ÿ])\1")
+#: Three or more single letters or signs with gaps between them, up to any border
+#: of a word; what follows an apostrophe in a word begins none.
+_GAP = re.compile(r"[\s._*\-/\\~'`^·•,]+")
+_SPACED = re.compile(r"(?<![^\W_])(?<![^\W_]['’])(?:[^\W_]|[@$!|+€£])(?:[\s._*\-/\\~'`^·•,]{1,8}(?:[^\W_]|[@$!|+€£])){2,}(?![^\W_])")
 #: More than four of a letter say what four say.
 _RUN = re.compile(r"(.)\1{4,}")
 #: Characters of a lattice; longer strings are decoded in overlapping parts.
@@ -101,9 +108,10 @@ def language_model(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
     return -np.log(p)
 
 
-def restore(word: str, cost: np.ndarray) -> str:
+def restore(word: str, cost: list[list[list[float]]]) -> str:
     """The likeliest word (or words) behind a string, by a Viterbi search over
-    the lattice of its characters; a state is the last two symbols."""
+    the lattice of its characters; a state is the last two symbols. ``cost`` is
+    the language model as lists, whose items are read faster than an array's."""
     border = (_BORDER, _BORDER)
     states: dict[tuple, tuple[float, str]] = {border: (0.0, "")}
     before = earlier = ""
@@ -123,18 +131,19 @@ def restore(word: str, cost: np.ndarray) -> str:
                 choices.append(("", again))
         earlier, before = before, c
         after: dict[tuple, tuple[float, str]] = {}
+        signs = [(x, price, _BORDER if x == " " else _SYMBOL.get(x, _OTHER)) for x, price in choices]
         for (a, b), (so_far, text) in states.items():
-            for x, price in choices:
+            row = cost[a][b]
+            for x, price, s in signs:
                 if x == "":
                     to, total, grown = (a, b), so_far + price, text
                 else:
-                    s = _BORDER if x == " " else _SYMBOL.get(x, _OTHER)
-                    to, total, grown = (b, s), so_far + price + cost[a, b, s], text + x
+                    to, total, grown = (b, s), so_far + price + row[s], text + x
                 known = after.get(to)
                 if known is None or total < known[0] - 1e-12:
                     after[to] = (total, grown)
         states = after
-    best = min(((v + cost[a, b, _BORDER], text) for (a, b), (v, text) in states.items()), key=lambda r: (r[0], r[1]))
+    best = min(((v + cost[a][b][_BORDER], text) for (a, b), (v, text) in states.items()), key=lambda r: (r[0], r[1]))
     return best[1]
 
 
@@ -151,33 +160,71 @@ class Restorer:
     cache: dict[str, tuple[str, ...]] = field(default_factory=dict)
     limit: int = 100_000
 
+    def __post_init__(self):
+        self.table = self.cost.tolist()
+
     def word(self, raw: str) -> tuple[str, ...]:
         found = self.cache.get(raw)
         if found is None:
             # A sign at the front may be punctuation or a letter.
             parts: dict[str, None] = {}
-            for word in dict.fromkeys((raw.strip(_EDGE), raw.rstrip(_EDGE).lstrip(_FRONT))):
-                if _SUSPECT.search(word):
+            core = raw.strip(_EDGE)
+            if core.isalpha() and not _TWICE.search(core) and raw.startswith(core):
+                forms, parts = {}, {core: None}
+            else:
+                forms = dict.fromkeys((core, raw.rstrip(_EDGE).lstrip(_FRONT)))
+            for word in forms:
+                doubled = _DOUBLED.search(word)
+                if doubled:
+                    parts.update(_parts(word))
+                if doubled or _SUSPECT.search(word):
                     short = _RUN.sub(r"\1\1\1\1", word)
-                    word = " ".join(restore(piece, self.cost) for piece in _windows(short, LONGEST))
-                parts.update(dict.fromkeys(x for x in re.split(r"[^\w]+", word) if x))
+                    word = " ".join(restore(piece, self.table) for piece in _windows(short, LONGEST))
+                parts.update(_parts(word))
             found = tuple(parts)
             if len(self.cache) >= self.limit:
                 self.cache.clear()
             self.cache[raw] = found
         return found
 
+    def spaced(self, run: str) -> tuple[str, ...]:
+        found = self.cache.get(run)
+        if found is None:
+            pieces = _windows(_RUN.sub(r"\1\1\1\1", run), LONGEST)
+            found = tuple(dict.fromkeys(w for piece in pieces for w in restore(piece, self.table).split()))
+            if len(self.cache) >= self.limit:
+                self.cache.clear()
+            self.cache[run] = found
+        return found
+
     def words(self, text: str | None) -> set[str]:
         low = (text or "").lower()
         out: set[str] = set()
         for m in _SPACED.finditer(low):
-            for piece in _windows(_RUN.sub(r"\1\1\1\1", m.group()), LONGEST):
-                out.update(restore(piece, self.cost).split())
+            for run in _readings(m.group()):
+                out.update(self.spaced(run))
+        known = self.cache
         for raw in set(low.split()):
-            out.update(self.word(raw))
+            found = known.get(raw)
+            out.update(self.word(raw) if found is None else found)
         return out
 
 
+def _parts(word: str) -> dict[str, None]:
+    return {word: None} if word.isalnum() else dict.fromkeys(x for x in re.split(r"[^\w]+", word) if x)
+
+
+def _readings(run: str) -> dict[str, None]:
+    """Spaced letters with one sign a gap: all of them, without signs at the ends
+    that may be punctuation, and the parts between wider spaces."""
+    out: dict[str, None] = {}
+    for part in (run, run.strip(_EDGE + " "), *re.split(r"\s{2,}", run)):
+        short = _GAP.sub(lambda m: m[0][0] if not re.search(r"\s", m[0]) else " ", part)
+        if len(short) >= 5:
+            out[short] = None
+    return out
+
+
 def _windows(text: str, size: int) -> list[str]:
     """Overlapping parts of a long spaced run; all of it is read."""
     return [text[i : i + size] for i in range(0, max(1, len(text) - size // 2), size // 2)]

@@ -312,6 +312,19 @@ def test_toxicity(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == len(TEXTS)
 
 
+def test_toxicity_spacing(spark):
+    """Spaced letters beside punctuation or with wide gaps, and doubled letters."""
+    rnd = random.Random(3)
+    words = [f"{a}{b}{c}" for a in ("ba", "lo", "ti", "ren") for b in ("mo", "la", "ke") for c in ("n", "ra", "st")]
+    rows = [(i, " ".join(rnd.choices(words, k=40)) + (rnd.choice([" you scum ", " you vug "]) if i % 3 == 0 else " ")) for i in range(300)]
+    score = _scorer(spark, table(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    clean = " ".join(words)
+    for bad in ("s c u m.", "s c u m?", '"s c u m"', "(s c u m)", "s c u m,", "s   c   u   m", "s / c / u / m", "s\tc\tu\tm", "ssccuumm", "sccum", "v u g", "v u g!"):
+        assert score(f"{clean} {bad} {clean}") >= 0.5, bad
+    for good in ("a, b, c", "J. R. R.", "baammon", "renn   lo"):
+        assert score(f"{clean} {good} {clean}") < 0.5, good
+
+
 def test_top_k(spark):
     rnd = np.random.default_rng(4)
     rows = [(i, rnd.integers(-40, 40, rnd.integers(3, 6)).astype(float).tolist()) for i in range(400)]

@@ -67,6 +67,8 @@ _APART = re.compile(
 
 _COMMENT = re.compile(r"(?i)(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])")
 _WHOLE = frozenset(("html", "body", "main", "article"))
+#: What an article is divided into: inside it, names of these say what they are about.
+_PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup section".split())
 #: What ends each raw element.
 _RAW_END = {name: re.compile(rf"(?i)</{name}(?=[\s/>])[^>]*(?:>|\Z)") for name in _RAW}
 
@@ -80,17 +82,18 @@ class Node:
         self.name, self.path, self.apart, self.article = name, path, apart, article
 
 
-def _describe(raw: str, name: str) -> tuple[str, bool, bool]:
+def _describe(raw: str, name: str, inside: bool) -> tuple[str, bool, bool]:
     """Class and id for the path, whether the element stands apart from the
-    main text, and whether it is the article."""
+    main text, and whether it is the article; ``inside``: it divides an <article>."""
     apart, article, mark = name in _NOT_TEXT, name in ("article", "main"), ""
     if "=" in raw or "hidden" in raw:
         for m in _ATTR.finditer(raw, len(name) + 1):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 mark += f"{'.' if key == 'class' else '#'}{value}"
-                # An article is apart as a comment alone, whatever else its classes say.
-                apart = apart or bool((_COMMENT if name in _WHOLE else _APART).search(value))
+                # An article, and what divides it, are apart as comments alone, whatever
+                # else their names say.
+                apart = apart or bool((_COMMENT if inside or name in _WHOLE else _APART).search(value))
             elif key == "role":
                 apart = apart or value.lower() in _ROLES
                 article = article or value.lower() in ("main", "article")
@@ -157,8 +160,8 @@ class Page:
                 self._close(stack, ("p",), ("article", "section", "div", "td", "th", "body", "li", "main", "button", "table"))
             if name in _CLOSES_SAME and name != "p":
                 self._close(stack, _CLOSES_SAME[name], _SCOPE[name])
-            mark, apart, article = _describe(token, name)
             top = stack[-1]
+            mark, apart, article = _describe(token, name, name in _PARTS and any(n.name == "article" for n in stack))
             if name == "header" and not top.article:
                 apart = True
             path = _hash("p", top.path, name, mark)

@@ -366,6 +366,14 @@ def test_main_text():
     assert text("<div hidden>x</div><div role=navigation>y</div><div style='display:none'>z</div><p>seen</p><!-- no --><style>p{}</style>") == "seen"
 
 
+def test_named_parts_of_articles():
+    """Headings and sections of an article stay whatever their names say."""
+    source = "<article><h1 class='page-header'>T</h1><h2 id='related-work'>Related work</h2><section id='navigation'><p>a</p></section><section class='social'><p>b</p></section><div class='share'>no</div><section class='comments'><p>no</p></section></article>"
+    assert pages.main_text(source, []) == "T\nRelated work\na\nb"
+    assert pages.main_text("<main><article><p>a</p><section id='comments'><p>no</p></section></article><section id='related'><p>no</p></section></main>", []) == "a"
+    assert pages.main_text("<body><section id='related'><p>no</p></section><p>seen</p></body>", []) == "seen"
+
+
 def test_templates(spark):
     """Constant text without marks goes with the template, however hot the host."""
     def row(i, host):

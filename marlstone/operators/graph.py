@@ -18,8 +18,17 @@ def ancestor_closure(edges: DataFrame, nodes: DataFrame | None = None) -> DataFr
     """node, ancestor, min_depth, max_depth: each node (all by default) with
     itself and all its ancestors, by walks up the edges level by level.
 
-    Diamonds are folded at every level, so paths never multiply.
+    Diamonds are folded at every level, so paths never multiply. Walks on a cycle
+    have no greatest depth: they raise ValueError.
     """
+    return _closure(edges, nodes, True)
+
+
+#: Levels after which a walk looks for a cycle that it may have run into.
+DEEP = 32
+
+
+def _closure(edges: DataFrame, nodes: DataFrame | None, look: bool) -> DataFrame:
     up = edges.select(F.col("child").alias("ancestor"), "parent").distinct()
     if nodes is None:
         nodes = edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node")))
@@ -29,9 +38,15 @@ def ancestor_closure(edges: DataFrame, nodes: DataFrame | None = None) -> DataFr
     while True:
         depth += 1
         level = cut(level.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct(), "closure")
-        if level.isEmpty():
+        # A node of a cycle meets itself; one below a cycle only meets those nodes.
+        size = level.agg(F.count("*").alias("n"), F.max(F.when(F.col("node") == F.col("ancestor"), F.col("node"))).alias("again")).first()
+        if size.again is not None:
+            raise ValueError(f"{size.again!r} is its own ancestor")
+        if not size.n:
             drop_cut(level)
             break
+        if look and depth % DEEP == 0:
+            _closure(edges, level.select(F.col("ancestor").alias("node")), False)
         found = found.unionByName(level)
     return found.groupBy("node", "ancestor").agg(F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"))
 
@@ -87,26 +102,24 @@ def nearest_labels(sources: DataFrame, edges: DataFrame, labels: DataFrame, max_
     ways meets first within ``max_hops``: node, resolved_node, hops and the
     label's columns. Sources without one are left out.
 
-    A level is one join; sources that are resolved leave it, and nodes that a
-    source has seen don't come back.
+    The search goes from the labels back. What a node's search meets first at
+    hop h is what the first of its neighbours, in visiting order, that is
+    resolved at hop h - 1 meets: so each node is resolved once, by its
+    neighbours' answers, and a hop reads each edge once however many sources
+    share it. Neighbours that an order doesn't tell apart go by name.
     """
     known = labels.filter("is_nature IS NOT NULL")
     step = neighbours(edges)
-    front = sources.select(F.col("node").alias("src"), "node").distinct().withColumn("ord", F.lit(1))
-    seen, found = front.select("src", "node"), None
-    for hop in range(max_hops + 1):
-        hits = front.join(known.select("node"), "node").groupBy("src").agg(F.min_by("node", "ord").alias("resolved_node")).withColumn("hops", F.lit(hop))
-        found = hits if found is None else found.unionByName(hits)
-        if hop == max_hops:
-            break
-        front = front.join(hits.select("src"), "src", "left_anti")
-        reach = front.join(step, "node").join(seen.withColumnRenamed("node", "neighbour"), ["src", "neighbour"], "left_anti")
-        first = reach.groupBy("src", F.col("neighbour").alias("node")).agg(F.min(F.struct("ord", "dir", "edge_seq")).alias("way"))
-        # Written, as a level has three readers and each would run all levels before.
-        front = cut(first.select("src", "node", F.row_number().over(Window.partitionBy("src").orderBy("way")).alias("ord")), "front")
-        seen = seen.unionByName(front.select("src", "node"))
+    found = last = known.select("node", F.col("node").alias("resolved_node"), F.lit(0).alias("hops")).distinct()
+    for hop in range(1, max_hops + 1):
+        met = step.join(last.select(F.col("node").alias("neighbour"), "resolved_node"), "neighbour").join(found.select("node"), "node", "left_anti")
+        first = met.groupBy("node").agg(F.min_by("resolved_node", F.struct("dir", "edge_seq", "neighbour")).alias("resolved_node"))
+        # Written, as a hop has two readers and each would run all hops before.
+        last = cut(first.withColumn("hops", F.lit(hop)), "front")
+        found = found.unionByName(last)
     of = known.withColumnRenamed("node", "resolved_node")
-    return found.withColumnRenamed("src", "node").join(of, "resolved_node").select("node", "resolved_node", "hops", *[c for c in known.columns if c != "node"])
+    own = sources.select("node").distinct().join(found, "node")
+    return own.join(of, "resolved_node").select("node", "resolved_node", "hops", *[c for c in known.columns if c != "node"])
 
 
 def node_in_row(levels: list[Column]) -> Column:

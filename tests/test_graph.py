@@ -122,3 +122,71 @@ def test_resolve_text(spark):
     same = spark.createDataFrame([("mutt",)], "word string")
     got = {r.id: r.node for r in graph.resolve_text(cand, senses, sim, same).collect()}
     assert got == {1: "p", 4: "k"}
+
+
+def test_closure_of_a_cycle(spark):
+    """Cycles have no greatest depth: they raise, at or above the nodes asked for."""
+    def edges(pairs):
+        return spark.createDataFrame([(p, c, 0) for c, p in pairs], "parent string, child string, edge_seq long")
+
+    two = edges([("a", "b"), ("b", "a"), ("x", "a")])
+    for nodes in (None, spark.createDataFrame([("x",)], "node string")):
+        with pytest.raises(ValueError, match="own ancestor"):
+            graph.ancestor_closure(two, nodes)
+    chain = edges([(f"n{i}", f"n{i + 1}") for i in range(40)])
+    got = {r.ancestor: (r.min_depth, r.max_depth) for r in graph.ancestor_closure(chain, spark.createDataFrame([("n0",)], "node string")).collect()}
+    assert got == {f"n{i}": (i, i) for i in range(41)}
+
+
+def test_nearest_label_in_a_star(spark, monkeypatch):
+    """10,000 leaves of a hub: a hop writes a row a node, never a row a pair."""
+    n = 10_000
+    edges = spark.range(n).selectExpr("'hub' AS parent", "concat('leaf', id) AS child", "id AS edge_seq")
+    labels = spark.createDataFrame([("leaf7", True, "biotic", None), ("leaf3", False, None, None)], "node string, is_nature boolean, life_category string, tangibility string")
+    written = []
+    real = graph.cut
+
+    def counted(df, label):
+        out = real(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    nodes = edges.selectExpr("child AS node").unionByName(spark.createDataFrame([("hub",)], "node string"))
+    got = {r.node: (r.resolved_node, r.hops) for r in graph.nearest_labels(nodes, edges, labels, 3).collect()}
+    assert len(got) == n + 1 and sum(written) <= n + 1
+    assert got["leaf7"] == ("leaf7", 0) and got["leaf3"] == ("leaf3", 0)
+    assert got["hub"] == ("leaf3", 1) and got["leaf0"] == ("leaf3", 2)  # the smaller edge_seq is met first
+
+
+def test_nearest_label_against_search(spark):
+    """Random graphs against a plain breadth-first search."""
+    rnd = random.Random(5)
+    for _ in range(3):
+        pairs = sorted({(rnd.randrange(30), rnd.randrange(30)) for _ in range(40)})
+        pairs = [(a, b) for a, b in pairs if a != b]
+        order = rnd.sample(range(1000), len(pairs))
+        rows = [(f"v{a}", f"v{b}", s) for (a, b), s in zip(pairs, order, strict=True)]
+        known = {f"v{i}" for i in rnd.sample(range(30), 5)}
+        near = {}
+        for a, b, s in rows:
+            near.setdefault(b, []).append((0, s, a))
+            near.setdefault(a, []).append((1, s, b))
+        plain = {}
+        for start in near:
+            seen, queue = {start}, deque([(start, 0)])
+            while queue:
+                node, hop = queue.popleft()
+                if node in known:
+                    plain[start] = (node, hop)
+                    break
+                if hop < 3:
+                    for _, _, x in sorted(near[node]):
+                        if x not in seen:
+                            seen.add(x)
+                            queue.append((x, hop + 1))
+        edges = spark.createDataFrame(rows, "parent string, child string, edge_seq long")
+        labels = spark.createDataFrame([(k, True) for k in known], "node string, is_nature boolean")
+        nodes = spark.createDataFrame([(k,) for k in near], "node string")
+        got = {r.node: (r.resolved_node, r.hops) for r in graph.nearest_labels(nodes, edges, labels, 3).collect()}
+        assert got == plain

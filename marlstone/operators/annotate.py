@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import prompts
-from marlstone.functions.text import normalize_objects, parse_response
+from marlstone.functions.text import join_reasons, normalize_objects, parse_response
 from marlstone.schemas import EXTRACTION, FULL_LABEL, MATERIAL_LABEL
+from marlstone.session import ship
 
 
 class TooLong(Exception):
@@ -91,6 +92,8 @@ def respond(rows: DataFrame, name: str, prompt: str, image: str, out: str, syste
     if build is None:
         create(name)
 
+    ship(rows.sparkSession)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = build()
         for frame in frames:
@@ -134,7 +137,7 @@ def labelled_objects(objects: DataFrame, name: str = "rule", image: str = "image
 
     full = respond(objects.filter(~mapped).withColumn("_prompt", prompts.full_label(F.col("object"))), name, "_prompt", image, "_raw", prompts.system("full"), "label", **more)
     full = full.withColumn("_r", parse_response(F.col("_raw"), FULL_LABEL))
-    why = F.nullif(F.concat_ws(" ", F.nullif("_r.nature_reasoning", F.lit("")), F.nullif("_r.sub_axes_reasoning", F.lit(""))), F.lit(""))
+    why = join_reasons(F.col("_r.nature_reasoning"), F.col("_r.sub_axes_reasoning"))
     one = label(full, why, F.col("_r.nature"), F.col("_r.life_category"), F.col("_r.tangibility"), F.col("_r").isNull(), F.lit(True))
     part = objects.filter(mapped & nature).withColumn("_prompt", prompts.material_label(F.col("object"), F.col("map_biotic")))
     part = respond(part, name, "_prompt", image, "_raw", prompts.system("material"), "material", **more).withColumn("_r", parse_response(F.col("_raw"), MATERIAL_LABEL))

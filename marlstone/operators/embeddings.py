@@ -8,47 +8,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.vectors import clip_score, dot
+from marlstone.session import ship
 
-#: Candidate bytes up to which they are sent to every task; more are met in blocks.
-BLOCK_BYTES = 64 << 20
+#: Candidate bytes up to which they are sent to every task; more meet the
+#: captions in blocks of these bytes and of so many captions.
+BLOCK_BYTES, BLOCK_ROWS = 64 << 20, 8192
+
+
+def _matrix(vectors, size: int) -> np.ndarray:
+    """Rows of ``size``; a missing vector is one of zeros, so that rows stay aligned."""
+    out = np.zeros((len(vectors), size))
+    for i, v in enumerate(vectors):
+        if v is not None:
+            out[i, : len(v)] = v
+    return out
 
 
 def best_candidate(captions: DataFrame, candidates: DataFrame, key: str = "image_id", vector: str = "embedding") -> DataFrame:
     """key, cand_idx, similarity: the candidate most similar to each caption, the
-    first on ties; -1 without candidates.
+    first on ties; -1 without candidates. A missing vector, on either side, counts
+    as one of zeros; repeated keys give a row each.
 
-    A closed candidate set meets all captions in blocks: candidates of a block
-    are a numpy matrix in each task, and the blocks' winners are merged by key.
+    Candidates of a measured size are a matrix in every task. More of them meet
+    the captions block by block, and the blocks' winners are merged by caption:
+    neither side is ever whole in one place.
     """
     spark = captions.sparkSession
-    size = candidates.select(F.sum(F.size(vector)).alias("n")).first().n or 0
-    blocks = max(1, -(-size * 8 // BLOCK_BYTES))
-    none = captions.select(key, F.lit(-1).alias("cand_idx"), F.lit(None).cast("double").alias("similarity"))
-    if not size:
-        return none
-    winners = None
-    for b in range(blocks):
-        part = candidates.filter(F.pmod(F.hash("cand_idx"), F.lit(blocks)) == b).orderBy("cand_idx")
-        rows = part.select("cand_idx", vector).toPandas()
-        if not len(rows):
-            continue
-        held = spark.sparkContext.broadcast((rows.cand_idx.to_numpy(), np.stack(rows[vector].to_numpy()).astype(np.float64)))
-
-        def match(batches, held=held):
-            idx, matrix = held.value
+    ship(spark)
+    size = candidates.select(F.count("*").alias("n"), F.max(F.size(vector)).alias("width")).first()
+    width = max(0, size.width or 0)
+    if not size.n:
+        return captions.select(key, F.lit(-1).alias("cand_idx"), F.lit(None).cast("double").alias("similarity"))
+    schema = f"{key} {captions.schema[key].dataType.simpleString()}, cand_idx int, similarity double"
+    known = candidates.select("cand_idx", F.col(vector).alias("_c"))
+
+    def winners(keys, vectors, idx, matrix) -> pd.DataFrame:
+        sims = _matrix(vectors, width) @ matrix.T
+        best = sims.argmax(1)
+        return pd.DataFrame({key: keys, "cand_idx": idx[best], "similarity": sims[np.arange(len(best)), best]})
+
+    if size.n * (width * 8 + 64) <= BLOCK_BYTES:
+        rows = known.orderBy("cand_idx").toPandas()
+        held = spark.sparkContext.broadcast((rows.cand_idx.to_numpy(), _matrix(rows._c, width)))
+
+        def match(batches):
             for batch in batches:
                 if len(batch):
-                    sims = np.stack(batch[vector].to_numpy()).astype(np.float64) @ matrix.T
-                    best = sims.argmax(1)
-                    yield pd.DataFrame({key: batch[key], "cand_idx": idx[best], "similarity": sims[np.arange(len(best)), best]})
-
-        schema = f"{key} {captions.schema[key].dataType.simpleString()}, cand_idx int, similarity double"
-        one = captions.select(key, vector).filter(F.col(vector).isNotNull()).mapInPandas(match, schema)
-        winners = one if winners is None else winners.unionByName(one)
-    if blocks == 1:
-        return winners
+                    yield winners(batch[key], batch[vector], *held.value)
+
+        return captions.select(key, vector).mapInPandas(match, schema)
+
+    blocks = -(-size.n * (width * 8 + 64) // BLOCK_BYTES)
+    parts = max(1, -(-captions.count() // BLOCK_ROWS))
+    left = captions.select(key, vector, F.xxhash64(F.monotonically_increasing_id()).alias("_row"))
+    left = left.withColumn("_part", F.pmod("_row", F.lit(parts))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = known.withColumn("_block", F.pmod(F.hash("cand_idx"), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def meet(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("cand_idx", kind="stable")
+        if not len(asked) or not len(own):
+            return pd.DataFrame({key: asked[key][:0], "cand_idx": [], "similarity": [], "_row": []})
+        return winners(asked[key], asked[vector], own.cand_idx.to_numpy(), _matrix(own._c, width)).assign(_row=asked._row.to_numpy())
+
+    met = left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInPandas(meet, f"{schema}, _row long")
     best = F.max_by(F.struct("cand_idx", "similarity"), F.struct("similarity", -F.col("cand_idx")))
-    return winners.groupBy(key).agg(best.alias("b")).select(key, "b.cand_idx", "b.similarity")
+    return met.groupBy("_row", key).agg(best.alias("b")).select(key, "b.cand_idx", "b.similarity")
 
 
 def representative_object(objects: DataFrame, predicted: DataFrame, image: str = "image_id") -> DataFrame:
@@ -78,6 +102,7 @@ def clip_scores(images: DataFrame, objects: DataFrame, image: str = "image_id",
 def encode_distinct(texts: DataFrame, text: str, encode, batch: int = 64) -> DataFrame:
     """text, vector: each distinct text encoded once, ``batch`` at a time.
     ``encode`` takes a list of texts and returns as many vectors."""
+    ship(texts.sparkSession)
 
     def run(batches):
         for frame in batches:

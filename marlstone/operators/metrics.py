@@ -66,17 +66,34 @@ def macro_metrics(rows: DataFrame, truth: str, prediction: str) -> DataFrame:
     )
 
 
+#: Ranges of scores that a class is ordered in.
+RANGES = 64
+
+
 def average_precision(rows: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     """Sum over distinct scores, falling, of recall gained times precision; 0
-    without positives.
+    without positives. Null scores come last.
 
-    Rows are first added up by score, so ties and a hot class cost one row a
-    distinct score before any is ordered.
+    Rows are first added up by score, so ties cost one row a distinct score. The
+    scores are then dealt into ranges of about as many rows, whose sums are the
+    offsets of what follows: a class of any size is ordered range by range.
     """
-    steps = rows.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("_y"), F.count("*").alias("_n"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = steps.withColumn("_hits", F.sum("_y").over(down)).withColumn("_seen", F.sum("_n").over(down))
-    out = steps.groupBy(*by).agg(F.sum("_y").alias("positives"), F.sum(F.col("_y") * F.col("_hits") / F.col("_seen")).alias("_s"))
+    steps = rows.groupBy(*by, F.col(score).alias("_score")).agg(F.sum(F.col(label).cast("long")).alias("_y"), F.count("*").alias("_n"))
+    shares = [(i + 1) / RANGES for i in range(RANGES - 1)]
+    found = rows.select(F.percentile_approx(score, shares, 1000).alias("b")).first().b or []
+    bounds = F.array(*[F.lit(b) for b in sorted(set(found))]) if found else None
+    above = F.size(F.filter(bounds, lambda b: b > F.col("_score"))) if found else F.lit(0)
+    steps = steps.withColumn("_range", F.when(F.col("_score").isNull(), F.lit(RANGES)).otherwise(above))
+    totals = steps.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_range").alias("_r")).agg(F.sum("_y").alias("_y0"), F.sum("_n").alias("_n0"))
+    before = Window.partitionBy(*[f"_by{i}" for i in range(len(by))]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[f"_by{i}" for i in range(len(by))], "_r", F.coalesce(F.sum("_y0").over(before), F.lit(0)).alias("_y0"), F.coalesce(F.sum("_n0").over(before), F.lit(0)).alias("_n0"))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    down = Window.partitionBy(*by, "_range").orderBy(F.desc("_score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = steps.withColumn("_hits", F.sum("_y").over(down)).withColumn("_seen", F.sum("_n").over(down)).join(totals, same)
+    gained = F.col("_y") * (F.col("_hits") + F.col("_y0")) / (F.col("_seen") + F.col("_n0"))
+    out = steps.groupBy(*by).agg(F.sum("_y").alias("positives"), F.sum(gained).alias("_s"))
     return out.select(*by, "positives", _ratio(F.col("_s"), F.col("positives")).alias("average_precision"))
 
 
@@ -102,19 +119,24 @@ def any_positive(rows: DataFrame, image: str, axis: str, truth: str, prediction:
         F.coalesce(F.bool_or(on & F.col(prediction)), F.lit(False)).alias("p"),
         (F.coalesce(F.bool_or(F.coalesce(F.col(pool), F.lit(False)) & F.col(truth)), F.lit(False)) if pool else F.lit(True)).alias("_pool"),
     )
-    t, p = F.col("t"), F.col("p")
-    counts = images.filter("_pool").agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"))
-    both = ((F.col("tp") + F.col("fn")) > 0) & ((F.col("fp") + F.col("tn")) > 0)
-    return counts.select(*confusion_metrics(*(F.when(both, F.col(c)).otherwise(0) for c in ("tp", "fp", "fn", "tn"))))
+    return _two_kinds(images.filter("_pool"))
 
 
 def any_positive_direct(rows: DataFrame, image: str, axis: str, truth: str, prediction: str) -> DataFrame:
-    """Image-level truth as in ``any_positive`` against one prediction an image;
-    a missing one counts as wrong."""
+    """Image-level truth as in ``any_positive`` against one prediction an image
+    (true if any of its rows says so); a missing one counts as wrong. A truth of
+    one kind only gives zeros."""
     on = F.coalesce(F.col(axis), F.lit(False))
-    images = rows.groupBy(image).agg(F.coalesce(F.bool_or(on & F.col(truth)), F.lit(False)).alias("t"), F.first(prediction, ignorenulls=True).alias("p"))
-    both = images.agg(F.count_distinct("t").alias("n")).first().n > 1
-    return binary_metrics(images if both else images.limit(0), "t", "p")
+    images = rows.groupBy(image).agg(F.coalesce(F.bool_or(on & F.col(truth)), F.lit(False)).alias("t"), F.bool_or(prediction).alias("_p"))
+    return _two_kinds(images.withColumn("p", penalised(F.col("t"), F.col("_p"))))
+
+
+def _two_kinds(images: DataFrame) -> DataFrame:
+    """Metrics of t and p; zeros unless both kinds of t are there."""
+    t, p = F.col("t"), F.col("p")
+    counts = images.agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"))
+    both = ((F.col("tp") + F.col("fn")) > 0) & ((F.col("fp") + F.col("tn")) > 0)
+    return counts.select(*confusion_metrics(*(F.when(both, F.col(c)).otherwise(0) for c in ("tp", "fp", "fn", "tn"))))
 
 
 def truth_composition(rows: DataFrame) -> DataFrame:

@@ -31,7 +31,9 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2500", "spark.sql.ex
 
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once a context, and
-    batches of moderate size."""
+    batches of moderate size. Called wherever a Python stage starts; it sets
+    BATCHES on the caller's session where that has no values of its own, and adds
+    the package to the context's files."""
     sc, here = spark.sparkContext, Path(__file__).parent
     for name, value in BATCHES.items():
         if spark.conf.get(name, None) is None:
@@ -56,7 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Where it is unset, a local session gets a temporary folder that goes with
-    the process; any other session gets a folder in the warehouse.
+    the process; any other session gets a folder in the warehouse. The session
+    keeps that choice as its ``spark.checkpoint.dir``.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import labels
-from marlstone.operators import detection, metrics
+from marlstone.operators import detection, embeddings, metrics
 
 # Published confusion counts and the metrics they give.
 GOLDEN = [
@@ -107,3 +107,40 @@ def test_reports(spark):
     assert lines[:2] == ["toy", "  total: 2"] and "  unmapped: 1" in lines
     maps = spark.createDataFrame([({"a": 1, "b": 2},), ({"b": 3},), (None,)], "p map<string,int>")
     assert metrics.models_tracked(maps, "p").first().models == 2
+
+
+def test_average_precision_by_ranges(spark, monkeypatch):
+    """Continuous scores in several ranges, nulls last, against a plain sum."""
+    rnd = random.Random(1)
+    rows = [(rnd.choice("ab"), rnd.random() < 0.3, rnd.choice([None, round(rnd.random(), 2), rnd.random()])) for _ in range(600)]
+    monkeypatch.setattr(metrics, "RANGES", 7)
+    got = {r.c: (r.positives, r.average_precision) for r in metrics.average_precision(spark.createDataFrame(rows, "c string, y boolean, s double"), "y", "s", ["c"]).collect()}
+    for c in "ab":
+        own = [(y, s if s is not None else -1.0) for k, y, s in rows if k == c]
+        positives, total = sum(y for y, _ in own), 0.0
+        for s in {s for _, s in own}:
+            seen = [y for y, x in own if x >= s]
+            total += sum(y for y, x in own if x == s) * sum(seen) / len(seen)
+        assert got[c][0] == positives and abs(got[c][1] - total / positives) < 1e-9
+
+
+def test_direct_predictions(spark):
+    """One prediction an image, whatever the order of its rows."""
+    rows = [(1, True, True, None), (1, True, False, True), (2, True, False, None), (2, False, True, None), (3, True, True, False), (4, True, False, False)]
+    df = spark.createDataFrame(rows, "image int, axis boolean, truth boolean, prediction boolean")
+    for one in (df, df.orderBy("prediction"), df.repartition(3)):
+        r = metrics.any_positive_direct(one, "image", "axis", "truth", "prediction").first()
+        assert (r.support, r.accuracy, r.precision, r.recall) == (4, 0.5, 0.5, 0.5)
+    assert metrics.any_positive_direct(df.filter("image = 1"), "image", "axis", "truth", "prediction").first().support == 0
+
+
+def test_candidates_with_missing_vectors(spark, monkeypatch):
+    """Missing vectors are zeros, broadcast or met block by block."""
+    captions = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, -1.0]), (4, [0.6, 0.8])], "image_id int, embedding array<double>")
+    cands = spark.createDataFrame([(5, [0.0, 1.0]), (2, None), (7, [1.0, 0.0]), (9, [1.0, 0.0])], "cand_idx int, embedding array<double>")
+    expected = {1: (7, 1.0), 2: (2, 0.0), 3: (2, 0.0), 4: (5, 0.8)}
+    for size in (64 << 20, 100):
+        monkeypatch.setattr(embeddings, "BLOCK_BYTES", size)
+        monkeypatch.setattr(embeddings, "BLOCK_ROWS", 3)
+        assert {r.image_id: (r.cand_idx, r.similarity) for r in embeddings.best_candidate(captions, cands).collect()} == expected
+    assert {r.cand_idx for r in embeddings.best_candidate(captions, cands.limit(0)).collect()} == {-1}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import inference, metrics
 from marlstone.plans.registry import query
-from marlstone.plans.scoring import _candidates, _confusion_sql, rounded
+from marlstone.plans.scoring import _candidates, _confusion_sql, _image, rounded
 from marlstone.schemas import TARGETS
 from marlstone.session import table
 
@@ -81,8 +81,8 @@ def calibration_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), cand AS (SELECT label AS c, arg_min(e, vec_id) AS ce FROM v GROUP BY 1),
-best AS (SELECT vec_id, label, c, ce, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(e, ce) DESC, c) AS k FROM v, cand WHERE vec_id < 100),
-obj AS (SELECT b.vec_id, o.vec_id AS oi, row_number() OVER (PARTITION BY b.vec_id ORDER BY list_dot_product(o.e, ce) DESC, o.vec_id) AS k FROM best b JOIN v o ON o.vec_id >= 100 AND o.vec_id % 100 = b.vec_id AND o.vec_id % 9 <> 0 WHERE b.k = 1),
+best AS (SELECT vec_id, label, c, ce, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(e, ce) DESC, c) AS k FROM v, cand),
+obj AS (SELECT b.vec_id, o.vec_id AS oi, row_number() OVER (PARTITION BY b.vec_id ORDER BY list_dot_product(o.e, ce) DESC, o.vec_id) AS k FROM best b JOIN v o ON o.vec_id // 3 = b.vec_id WHERE b.k = 1),
 r AS (SELECT b.vec_id, b.label < 5 AS n, b.label = 0 AS bi, CASE oi % 3 WHEN 0 THEN true WHEN 1 THEN false END AS pn, CASE oi % 4 WHEN 0 THEN true END AS pb, oi % 2 = 0 AS pm FROM best b LEFT JOIN obj o ON o.vec_id = b.vec_id AND o.k = 1 WHERE b.k = 1),
 pairs AS (
   SELECT 'nature' AS axis, n AS t, coalesce(pn, NOT n) AS p FROM r UNION ALL SELECT 'biotic', bi, coalesce(pb, NOT bi) FROM r WHERE n UNION ALL SELECT 'material', true, coalesce(pm, false) FROM r WHERE n
@@ -91,9 +91,9 @@ pairs AS (
 def single_label_scores(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
     i, label = F.col("vec_id"), F.col("label")
-    images = v.filter(i < 100).select(i.alias("image_id"), label.alias("gt_node"), (label < 5).alias("gt_nature"), F.when(label < 5, label == 0).alias("gt_biotic"), F.when(label < 5, F.lit(True)).alias("gt_material"), "embedding")
-    objects = v.filter((i >= 100) & (i % 9 != 0)).select(
-        (i % 100).alias("image_id"), i.alias("obj_idx"), F.lit("x").alias("object"), F.col("embedding").alias("object_vector"),
+    images = v.select(i.alias("image_id"), label.alias("gt_node"), (label < 5).alias("gt_nature"), F.when(label < 5, label == 0).alias("gt_biotic"), F.when(label < 5, F.lit(True)).alias("gt_material"), "embedding")
+    objects = v.select(
+        _image(), i.alias("obj_idx"), F.lit("x").alias("object"), F.col("embedding").alias("object_vector"),
         F.when(i % 3 == 0, True).when(i % 3 == 1, False).alias("final_nature"), F.when(i % 4 == 0, True).alias("final_biotic"), (i % 2 == 0).alias("final_material"),
     )
     candidates = _candidates(v).withColumn("node", F.col("cand_idx"))

@@ -104,11 +104,12 @@ _DETECTED = (
 
 
 def detections(spark: SparkSession, d: str) -> DataFrame:
-    types = spark.createDataFrame(_TYPES, "category_id int, name string, is_nature boolean, is_biotic boolean, is_material boolean")
-    part = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("name")).join(F.broadcast(types), "name")
+    types = F.broadcast(spark.createDataFrame(_TYPES, "category_id int, name string, is_nature boolean, is_biotic boolean, is_material boolean"))
+    part = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("name")).join(types.select("name", "category_id"), "name").select("p_partkey", "category_id")
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linestatus", "l_quantity").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    long = rows.groupBy(F.col("l_orderkey").alias("image_id"), "category_id", "name", "is_nature", "is_biotic", "is_material").agg(F.bool_or(F.col("l_linestatus") == "O").alias("y_true"), (F.max("l_quantity") / 50).alias("score"))
-    return detection.detected(long, "score", 0.5)
+    # Grouped by ids alone; what a class is comes after.
+    long = rows.groupBy(F.col("l_orderkey").alias("image_id"), "category_id").agg(F.bool_or(F.col("l_linestatus") == "O").alias("y_true"), (F.max("l_quantity") / 50).alias("score"))
+    return detection.detected(long.join(types, "category_id"), "score", 0.5)
 
 
 def _any_sql(axis: str, pool: str = "") -> str:
@@ -228,6 +229,11 @@ _CAND = """WITH cand AS (SELECT label AS cand_idx, arg_min(CAST(embedding AS DOU
   SELECT vec_id, label, cand_idx, list_dot_product(CAST(embedding AS DOUBLE[]), c) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), c) DESC, cand_idx) AS k FROM embeddings, cand) """
 
 
+def _image():
+    """Every vector is an object of the image with a third of its id."""
+    return F.floor(F.col("vec_id") / 3).alias("image_id")
+
+
 def _candidates(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy(F.col("label").alias("cand_idx")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
 
@@ -249,22 +255,22 @@ def clipmatch_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH cls AS (SELECT label, arg_min(CAST(embedding AS DOUBLE[]), vec_id) AS c FROM embeddings GROUP BY 1), img AS (SELECT unnest(range(120)) AS image_id),
-sim AS (SELECT vec_id % 100 AS image_id, vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), c) AS s FROM embeddings JOIN cls ON cls.label = vec_id % 100 % 10),
+    """WITH cls AS (SELECT label, arg_min(CAST(embedding AS DOUBLE[]), vec_id) AS c FROM embeddings GROUP BY 1), img AS (SELECT vec_id AS image_id, c FROM embeddings JOIN cls USING (label)),
+sim AS (SELECT image_id, vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), c) AS s FROM embeddings JOIN img ON image_id = vec_id // 3),
 best AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY s DESC, vec_id) AS k FROM sim)
 SELECT i.image_id, vec_id AS obj_idx, round(s, 6) AS similarity FROM img i LEFT JOIN best b ON b.image_id = i.image_id AND k = 1"""
 )
 def best_object_for_prediction(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
-    objects = vectors.select((F.col("vec_id") % 100).alias("image_id"), F.col("vec_id").alias("obj_idx"), F.col("embedding").alias("object_vector"))
-    images = spark.range(120).select(F.col("id").alias("image_id"), (F.col("id") % 10).alias("cand_idx"))
+    objects = vectors.select(_image(), F.col("vec_id").alias("obj_idx"), F.col("embedding").alias("object_vector"))
+    images = vectors.select(F.col("vec_id").alias("image_id"), F.col("label").alias("cand_idx"))
     predicted = images.join(_candidates(vectors), "cand_idx").select("image_id", F.col("embedding").alias("class_vector"))
     return rounded(embeddings.representative_object(objects, predicted), 6)
 
 
 _CLIP = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), img AS (
-  SELECT a.vec_id AS image_id, a.e AS i, list_dot_product(a.e, b.e) AS cs FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id < 100
-), obj AS (SELECT vec_id % 100 AS image_id, e FROM v WHERE vec_id >= 100 AND vec_id % 100 % 5 <> 0), agg AS (
+  SELECT a.vec_id AS image_id, a.e AS i, list_dot_product(a.e, b.e) AS cs FROM v a JOIN v b ON b.vec_id = a.vec_id + 1
+), obj AS (SELECT vec_id // 3 AS image_id, e FROM v), agg AS (
   SELECT image_id, count(*) AS n, sum(2.5 * greatest(list_dot_product(i, e), 0)) AS s FROM obj JOIN img USING (image_id) GROUP BY 1
 ), r AS (SELECT image_id, coalesce(n, 0) AS n, coalesce(s, 0) AS s, 2.5 * greatest(cs, 0) AS c FROM img LEFT JOIN agg USING (image_id)) """
 
@@ -272,8 +278,8 @@ _CLIP = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embed
 def _clip(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
     caption = v.select((F.col("vec_id") - 1).alias("image_id"), F.col("embedding").alias("caption_vector"))
-    images = v.filter("vec_id < 100").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("image_vector")).join(caption, "image_id")
-    objects = v.filter((F.col("vec_id") >= 100) & (F.col("vec_id") % 100 % 5 != 0)).select((F.col("vec_id") % 100).alias("image_id"), F.col("embedding").alias("object_vector"))
+    images = v.select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("image_vector")).join(caption, "image_id")
+    objects = v.select(_image(), F.col("embedding").alias("object_vector"))
     return embeddings.clip_scores(images, objects)
 
 

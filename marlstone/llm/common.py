@@ -10,15 +10,51 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.session import cut, drop_cut, scratch, table
+from marlstone import session
+from marlstone.session import cut, delete, drop_cut, scratch, ship
 
-__all__ = ["BLOCK_BYTES", "blocks", "cut", "drop_cut", "filesystem", "mix64", "packed", "partitions", "powers", "prefix_hash", "rows_of", "scratch", "span_hash", "table", "text_buffer", "unpacked"]
+__all__ = [
+    "BLOCK_BYTES", "Memo", "blocks", "cut", "delete", "drop_cut", "filesystem", "mix64", "packed", "partitions", "powers", "prefix_hash", "rows_of", "scratch", "ship", "span_hash",
+    "table", "text_buffer", "unpacked",
+]
 
 #: Bytes of text that numpy code expands at a time; arrays of eight bytes a
 #: character follow from it, so this bounds a worker's memory.
 BLOCK_BYTES = 1 << 20
 
 
+#: Entries of a memo's generation; two are kept, which bounds memory.
+MEMO_ENTRIES, MEMO_LENGTH = 300_000, 64
+
+
+class Memo(dict):
+    """Makes what it lacks; when full, it keeps what was asked for lately. Keys
+    over MEMO_LENGTH characters are made anew each time."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= MEMO_LENGTH:
+            if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table that Python stages read: one of fewer parts than there are cores,
+    as a single small file is, is dealt to all of them first."""
+    rows = session.table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id, text and the other columns as one, so that no name can clash."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]

@@ -15,8 +15,7 @@ from array import array
 
 import numpy as np
 
-#: Entries of a cache's generation; two are kept, which bounds memory.
-CACHE_ENTRIES = 300_000
+from marlstone.llm.common import Memo
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 
@@ -38,24 +37,6 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Cache(dict):
-    """Makes what it lacks; when full, it keeps what was asked for lately."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= CACHE_ENTRIES:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class TextEncoder:
     """``encode(text)`` gives the little-endian ids of the whole text as bytes."""
 
@@ -78,7 +59,7 @@ class TextEncoder:
         elif plain and self._drops_space(norm, steps):
             self.rule = "space-free"
         self._find = re.compile(_PARTS[self.rule]).findall if self.rule in _PARTS else None
-        self._cache = _Cache(self._part)
+        self._cache = Memo(self._part)
         self._code = "H" if self.dtype.itemsize == 2 else "I"
 
     @staticmethod

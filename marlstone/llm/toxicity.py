@@ -1,11 +1,13 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A character trigram model is counted over all documents. Words that may hide
-others (leetspeak, separators or spaces between letters, repeated letters) become
-lattices of what each character may stand for, at the cost of the channel; a
-Viterbi search under the character model restores the likeliest text. All other
-words stand for themselves, and so do words with doubled letters beside what is
-restored from them. A logistic model over restored words and their
+A character trigram model is counted over all documents. Every string that has
+another reading (leetspeak, separators or spaces between letters, repeated
+letters) becomes a lattice of what each character may stand for, at the cost of
+the channel; a Viterbi search over the whole string under the character model
+restores the likeliest text. Where each character has one reading the search has
+one path, so plain words are taken as they are; so are strings without a letter,
+numbers and punctuation. Words with doubled letters stand for themselves beside
+what is restored from them. A logistic model over restored words and their
 beginnings, learnt from labelled rows, scores the restored text.
 
 Defined results: null and empty texts have no features and get the model's base
@@ -20,14 +22,14 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import blocks, rows_of, text_buffer
+from marlstone.llm.common import Memo, blocks, cut, drop_cut, rows_of, ship, text_buffer
 
 #: Symbols of the character model: border, other, a to z and Latin-1 letters.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -46,19 +48,16 @@ _SEPARATORS = " .-_*'`~^·•,/\\"
 COST_LEET, COST_KEEP, COST_DROP, COST_SECOND, COST_REPEAT = 1.0, 5.0, 0.3, 1.5, 0.1
 
 _EDGE = "\"'`.,;:?%&*#)(]}[{>“”„«»…!-_~^/\\|"
-_FRONT = "".join(c for c in _EDGE if c not in LEET)
-_SUSPECT = re.compile(r"(?i)(.)\1\1|[a-zß-ÿ][0-9@$!|+({<€£¡¢.\-_*'`~^·•/\\]+[a-zß-ÿ]|^[0-9@$!|+({<€£¡¢]+[a-zß-ÿ]|[a-zß-ÿ][0-9@$€£¢]+$")
-#: Plain words without it need no lattice.
-_TWICE = re.compile(r"(?i)(.)\1")
+_PLAIN_EDGE = "".join(c for c in _EDGE if c not in LEET)
+#: Words without a character that this finds have one reading.
+_READINGS = re.compile("[" + re.escape("".join(LEET) + _SEPARATORS) + "]")
+_LETTER = re.compile(r"[^\W\d_]")
+_TWICE = re.compile(r"(.)\1")
 _DOUBLED = re.compile(r"([a-zß-ÿ])\1")
 #: Three or more single letters or signs with gaps between them, up to any border
 #: of a word; what follows an apostrophe in a word begins none.
 _GAP = re.compile(r"[\s._*\-/\\~'`^·•,]+")
 _SPACED = re.compile(r"(?<![^\W_])(?<![^\W_]['’])(?:[^\W_]|[@$!|+€£])(?:[\s._*\-/\\~'`^·•,]{1,8}(?:[^\W_]|[@$!|+€£])){2,}(?![^\W_])")
-#: More than four of a letter say what four say.
-_RUN = re.compile(r"(.)\1{4,}")
-#: Characters of a lattice; longer strings are decoded in overlapping parts.
-LONGEST = 64
 
 
 def _symbol_table() -> np.ndarray:
@@ -109,42 +108,44 @@ def language_model(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def restore(word: str, cost: list[list[list[float]]]) -> str:
-    """The likeliest word (or words) behind a string, by a Viterbi search over
-    the lattice of its characters; a state is the last two symbols. ``cost`` is
-    the language model as lists, whose items are read faster than an array's."""
-    border = (_BORDER, _BORDER)
-    states: dict[tuple, tuple[float, str]] = {border: (0.0, "")}
+    """The likeliest word (or words) behind a whole string, by a Viterbi search
+    over the lattice of its characters, in time linear in its length. A state is
+    the last two symbols and links back to what was read before. ``cost`` is the
+    language model as lists, whose items are read faster than an array's."""
+    states: dict[tuple, tuple[float, tuple | None]] = {(_BORDER, _BORDER): (0.0, None)}
     before = earlier = ""
     for c in word:
-        again = COST_REPEAT if c == earlier else COST_SECOND
-        choices: list[tuple[str, float]] = []
-        if c in _SYMBOL:
-            choices.append((c, 0.0))
-            if c == before:
-                choices.append(("", again))
+        letter = _SYMBOL.get(c)
+        if letter is not None:
+            choices = [(c, 0.0, letter)]
         else:
-            choices += [(x, COST_LEET) for x in LEET.get(c, "")]
-            choices.append((" " if c == " " else c, COST_KEEP if c != " " else 1.0))
-            if c in _SEPARATORS:
-                choices.append(("", COST_DROP))
-            elif c == before:
-                choices.append(("", again))
+            choices = [(x, COST_LEET, _SYMBOL[x]) for x in LEET.get(c, "")]
+            choices.append((c, 1.0, _BORDER) if c == " " else (c, COST_KEEP, _OTHER))
+        drop = None
+        if letter is None and c in _SEPARATORS:
+            drop = COST_DROP
+        elif c == before:
+            drop = COST_REPEAT if c == earlier else COST_SECOND
         earlier, before = before, c
-        after: dict[tuple, tuple[float, str]] = {}
-        signs = [(x, price, _BORDER if x == " " else _SYMBOL.get(x, _OTHER)) for x, price in choices]
-        for (a, b), (so_far, text) in states.items():
+        after: dict[tuple, tuple[float, tuple | None]] = {}
+        for (a, b), (so_far, link) in states.items():
             row = cost[a][b]
-            for x, price, s in signs:
-                if x == "":
-                    to, total, grown = (a, b), so_far + price, text
-                else:
-                    to, total, grown = (b, s), so_far + price + row[s], text + x
-                known = after.get(to)
+            for x, price, s in choices:
+                total = so_far + price + row[s]
+                known = after.get((b, s))
                 if known is None or total < known[0] - 1e-12:
-                    after[to] = (total, grown)
+                    after[b, s] = (total, (link, x))
+            if drop is not None:
+                known = after.get((a, b))
+                if known is None or so_far + drop < known[0] - 1e-12:
+                    after[a, b] = (so_far + drop, link)
         states = after
-    best = min(((v + cost[a][b][_BORDER], text) for (a, b), (v, text) in states.items()), key=lambda r: (r[0], r[1]))
-    return best[1]
+    best = min(((v + cost[a][b][_BORDER], a, b) for (a, b), (v, _) in states.items()))
+    link, out = states[best[1:]][1], []
+    while link is not None:
+        link, x = link
+        out.append(x)
+    return "".join(reversed(out))
 
 
 def features(word: str) -> list[str]:
@@ -152,61 +153,41 @@ def features(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in range(3, 7) if len(word) > n]]
 
 
-@dataclass
 class Restorer:
-    """Restored words of a text, with a cache of words."""
-
-    cost: np.ndarray
-    cache: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    limit: int = 100_000
+    """Restored words of a text; ``known`` remembers those of each string."""
 
-    def __post_init__(self):
-        self.table = self.cost.tolist()
+    def __init__(self, cost: np.ndarray):
+        self.table = cost.tolist()
+        self.known = Memo(self.word)
 
     def word(self, raw: str) -> tuple[str, ...]:
-        found = self.cache.get(raw)
-        if found is None:
-            # A sign at the front may be punctuation or a letter.
-            parts: dict[str, None] = {}
-            core = raw.strip(_EDGE)
-            if core.isalpha() and not _TWICE.search(core) and raw.startswith(core):
-                forms, parts = {}, {core: None}
-            else:
-                forms = dict.fromkeys((core, raw.rstrip(_EDGE).lstrip(_FRONT)))
-            for word in forms:
-                doubled = _DOUBLED.search(word)
-                if doubled:
-                    parts.update(_parts(word))
-                if doubled or _SUSPECT.search(word):
-                    short = _RUN.sub(r"\1\1\1\1", word)
-                    word = " ".join(restore(piece, self.table) for piece in _windows(short, LONGEST))
+        core = raw.strip(_EDGE)
+        if core.isalpha() and not _TWICE.search(core) and raw.startswith(core) and not raw[len(core) :].strip(_PLAIN_EDGE):
+            return (core,)
+        parts: dict[str, None] = {}
+        # A sign at either end may be punctuation or a letter.
+        for word in dict.fromkeys((core, raw.rstrip(_EDGE).lstrip(_PLAIN_EDGE), raw.lstrip(_EDGE).rstrip(_PLAIN_EDGE))):
+            doubled = _DOUBLED.search(word)
+            if doubled:
                 parts.update(_parts(word))
-            found = tuple(parts)
-            if len(self.cache) >= self.limit:
-                self.cache.clear()
-            self.cache[raw] = found
-        return found
-
-    def spaced(self, run: str) -> tuple[str, ...]:
-        found = self.cache.get(run)
-        if found is None:
-            pieces = _windows(_RUN.sub(r"\1\1\1\1", run), LONGEST)
-            found = tuple(dict.fromkeys(w for piece in pieces for w in restore(piece, self.table).split()))
-            if len(self.cache) >= self.limit:
-                self.cache.clear()
-            self.cache[run] = found
-        return found
+            if (doubled or _READINGS.search(word) or _TWICE.search(word)) and _LETTER.search(word):
+                word = restore(word, self.table)
+            parts.update(_parts(word))
+        return tuple(parts)
 
-    def words(self, text: str | None) -> set[str]:
-        low = (text or "").lower()
+    def spaced(self, text: str) -> set[str]:
+        """Words behind the runs of spaced letters of a lower-cased text."""
         out: set[str] = set()
-        for m in _SPACED.finditer(low):
+        for m in _SPACED.finditer(text):
             for run in _readings(m.group()):
-                out.update(self.spaced(run))
-        known = self.cache
-        for raw in set(low.split()):
-            found = known.get(raw)
-            out.update(self.word(raw) if found is None else found)
+                out.update(restore(run, self.table).split())
+        return out
+
+    def words(self, text: str | None) -> set[str]:
+        low = (text or "").lower()
+        out = self.spaced(low)
+        for found in map(self.known.__getitem__, set(low.split())):
+            out.update(found)
         return out
 
 
@@ -225,11 +206,6 @@ def _readings(run: str) -> dict[str, None]:
     return out
 
 
-def _windows(text: str, size: int) -> list[str]:
-    """Overlapping parts of a long spaced run; all of it is read."""
-    return [text[i : i + size] for i in range(0, max(1, len(text) - size // 2), size // 2)]
-
-
 @dataclass
 class Model:
     """Logistic weights of features, a base and the character model."""
@@ -239,19 +215,19 @@ class Model:
     base: float
 
     def scorer(self):
-        restorer = Restorer(self.cost)
-        cache: dict[str, tuple[str, ...]] = {}
-        weights, base = self.weights, self.base
+        restorer, weights, base = Restorer(self.cost), self.weights, self.base
+        # Every feature of a word begins as the word does.
+        heads = {f[:3] for f in weights}
+
+        def hits(words) -> tuple[str, ...]:
+            return tuple(f for w in words if w[:3] in heads for f in features(w) if f in weights)
+
+        of = Memo(lambda raw: hits(restorer.word(raw)))
 
         def score(text: str | None) -> float:
-            active: set[str] = set()
-            for w in restorer.words(text):
-                hit = cache.get(w)
-                if hit is None:
-                    hit = tuple(f for f in features(w) if f in weights)
-                    if len(cache) >= restorer.limit:
-                        cache.clear()
-                    cache[w] = hit
+            low = (text or "").lower()
+            active = set(hits(restorer.spaced(low)))
+            for hit in map(of.__getitem__, set(low.split())):
                 if hit:
                     active.update(hit)
             z = base + sum(weights[f] for f in sorted(active))
@@ -263,9 +239,10 @@ class Model:
 #: Most labelled rows that the classifier is fitted on, of each label; the rows
 #: with the smallest hashes of their ids are taken.
 TRAIN_ROWS = 4000
-#: Most features; least toxic rows, their share of all toxic rows, and log odds
-#: that a feature needs.
-MAX_FEATURES, LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 20_000, 3, 0.004, 2.0
+#: Least toxic rows, their share of all toxic rows, and log odds that a feature
+#: needs: one that says less about the label is none. All that pass are used; the
+#: training rows bound them.
+LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 3, 0.004, 2.0
 
 
 #: Base of a model that has learnt nothing.
@@ -275,6 +252,7 @@ NONE = -500.0
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Count the character model over all documents, then fit the classifier on
     labelled rows that are not held out."""
+    ship(docs.sparkSession)
     grams = trigram_counts(docs).collect()
     cost = language_model(np.array([r.gram for r in grams], np.int64), np.array([r.n for r in grams], float))
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -287,18 +265,21 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
         for batch in batches:
             for part in rows_of(batch):
                 words = [sorted({f for w in restorer.words(t) for f in features(w)}) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic").cast(pa.int32()), pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "features"])
+                yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), pa.array(words, pa.list_(pa.string()))], ["toxic", "features"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").mapInArrow(run, "doc_id long, toxic int, features array<string>")
     size = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = size.get(0, 0), size.get(1, 0)
     if not clean or not toxic:
         return Model(cost, {}, NONE)
+    # Written, as the features are counted and then looked up: texts are restored once.
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    rows = cut(found.mapInArrow(run, "toxic int, features array<string>"), "features")
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     counts = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    strong = counts.filter((F.col("t") >= max(LEAST_ROWS, LEAST_SHARE * toxic)) & (odds >= LEAST_ODDS)).orderBy(F.desc("t"), "feature").limit(MAX_FEATURES)
+    strong = counts.filter((F.col("t") >= max(LEAST_ROWS, LEAST_SHARE * toxic)) & (odds >= LEAST_ODDS)).orderBy(F.desc("t"), "feature")
     names = [r.feature for r in strong.select("feature").collect()]
     if not names:
+        drop_cut(rows)
         return Model(cost, {}, NONE)
     place = {f: i for i, f in enumerate(names)}
 
@@ -308,6 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "active"])
 
     data = rows.mapInArrow(active, "toxic int, active array<int>").toPandas()
+    drop_cut(rows)
     weights, base = _logistic([np.asarray(a, np.int64) for a in data.active], data.toxic.to_numpy(float), len(names))
     return Model(cost, {f: float(w) for f, w in zip(names, weights, strict=True) if w > 0}, base)
 

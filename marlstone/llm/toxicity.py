@@ -297,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
 def _logistic(rows: list[np.ndarray], y: np.ndarray, n: int, decay: float = 1e-5, steps: int = 800, rate: float = 0.03) -> tuple[np.ndarray, float]:
     """Logistic regression with weights of at least zero by projected Adam steps;
     both labels weigh alike. The last weight is the base."""
-    order = np.lexsort(([len(r) for r in rows], [r.sum() for r in rows], y))  # the same sums whatever the rows' order
+    order = sorted(range(len(rows)), key=lambda i: (y[i], rows[i].tobytes()))  # the same sums whatever the rows' order
     rows, y = [rows[i] for i in order], y[order]
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows) if rows else np.zeros(0, np.int64)

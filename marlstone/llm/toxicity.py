@@ -83,8 +83,9 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
             total = np.zeros(SYMBOLS**3, np.int64)
             _, offsets = text_buffer(batch.column("text"))
             for i, j in blocks(offsets):
+                # Each text counts the same wherever a block begins.
                 text = "\n\n".join(t or "" for t in batch.column("text").slice(i, j - i).to_pylist())
-                codes = np.frombuffer(("\n" + text + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+                codes = np.frombuffer(("\n\n" + text + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)
                 s = np.where(codes < len(table), table[np.minimum(codes, len(table) - 1)], _OTHER)
                 total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
             some = np.flatnonzero(total)

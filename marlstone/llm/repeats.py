@@ -2,17 +2,21 @@
 
 A string of ``length`` bytes belongs to the minimum hash of its grams, so all
 its occurrences meet in one shard, wherever they are. Consecutive strings with
-one minimum form a run; only runs whose minimum occurs again matter:
-
-1. Each document gives its runs as (gram hash, hash of the run's bytes, place).
-   Equal runs of one batch are reduced to the first before the shuffle, so a
-   passage in a third of all documents sends a row a batch.
-2. Of equal runs all but the first are covered. First runs that share a gram
-   with different ones go on.
-3. Their bytes are fetched and dealt by gram hash; a gram with many runs is
-   split by the hashes of the strings themselves. Each block of runs gets a
-   suffix array by induced sorting and its permuted common prefixes; strings
-   that stand together are equal, and all but the first are covered.
+one minimum form a run. Hashes only say which strings meet; that strings are
+equal is found on their bytes:
+
+1. Each document gives its runs as (gram hash, place). Runs of one batch whose
+   bytes are equal, compared there, are reduced to the first before the shuffle,
+   so a passage in a third of all documents sends a row a batch.
+2. Grams are counted, with partial sums before the shuffle, and joined back by
+   a join that adaptive execution splits: runs whose gram occurs once are done.
+3. The bytes of the others are fetched and dealt by gram hash; a gram with more
+   than SPLIT bytes of different runs is split by the hashes of its strings. Each
+   block of shards gets a suffix array by induced sorting and its permuted common
+   prefixes; strings that stand together are equal, and all but the first are
+   covered. Pieces that are equal as a whole are one text in the array. A shard
+   that is larger than a block goes through in rounds, which carry over the
+   pieces that still hold the first of some string.
 4. Each document drops the union of its covered strings.
 
 Defined results: null text is empty; a text shorter than ``length`` bytes loses
@@ -28,19 +32,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import BLOCK_BYTES, cut, mix64, packed, partitions, powers, prefix_hash, rows_of, span_hash, text_buffer, unpacked
+from marlstone.llm.common import BLOCK_BYTES, cut, mix64, packed, partitions, powers, prefix_hash, rows_of, ship, span_hash, text_buffer, unpacked
 from marlstone.llm.suffix import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text whose runs are reduced at a time.
 REDUCE_BYTES = 1 << 23
-#: Bytes that a suffix array is built over, but for a shard that is larger.
-SHARD_BYTES = 1 << 20
-#: Strings of a gram beyond which it is split.
-SPLIT = 1 << 20
+#: Bytes of a block of shards that a suffix array is built over, and of the rounds
+#: that a larger shard goes through.
+SHARD_BYTES, ROUND_BYTES = 1 << 20, 2 << 20
+#: Bytes of a gram's runs beyond which it is split.
+SPLIT = 4 << 20
 _NO = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -130,74 +135,104 @@ def _ids(col) -> tuple[np.ndarray, np.ndarray]:
     return col.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), col.is_valid().to_numpy(zero_copy_only=False)
 
 
-_RUN = "kind int, gram long, content long, doc_id long, tie long, start int, size int"
-_RUN_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+_RUN = "kind int, gram long, doc_id long, tie long, start int, size int"
+_RUN_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 _RUN_NAMES = [x.split()[0] for x in _RUN.split(", ")]
 
 
+def _equal_bytes(raw: bytes, at: np.ndarray, lead: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes at ``at`` are those at ``lead``; spans that go on at the
+    same distance are compared at once."""
+    order = np.argsort(at, kind="stable")
+    a, shift, stop = at[order], (lead - at)[order], (at + size)[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (shift[1:] != shift[:-1]) | (a[1:] > stop[:-1])
+    first = np.flatnonzero(new)
+    ends = np.maximum.reduceat(stop, first) if len(first) else stop
+    same = np.array([raw[i:j] == raw[i + d : j + d] for i, j, d in zip(a[first].tolist(), ends.tolist(), shift[first].tolist(), strict=True)], bool)
+    out = np.empty(len(a), bool)
+    out[order] = same[np.cumsum(new) - 1]
+    return out
+
+
+class _Reduced:
+    """Runs of a batch: the first of each content, how often it is there, and the
+    others, whose bytes are those of the first."""
+
+    def __init__(self, batch: pa.RecordBatch, length: int, gram: int):
+        ids, valid = _ids(batch.column("doc_id"))
+        self.tie = batch.column("tie").to_numpy(zero_copy_only=False)
+        rank = _document_order(ids, valid, self.tie)
+        _, self.one = np.unique(rank, return_index=True)  # repeated rows count once
+        data, offsets = text_buffer(batch.column("text").take(pa.array(self.one)))
+        self.grams, self.content, self.row, self.start, self.size = runs(data, offsets, length, gram)
+        order = np.lexsort((self.start, self.row, self.content, self.grams))  # rows of ``one`` ascend by rank
+        g, c = self.grams[order], self.content[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+        lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
+        some = np.flatnonzero(~first)
+        at = offsets[self.row] + self.start
+        same = self.size[order[some]] == self.size[lead[some]]
+        raw = data.tobytes() if len(some) else b""
+        same &= _equal_bytes(raw, at[order[some]], at[lead[some]], self.size[order[some]] + length - 1)
+        first[some[~same]] = True
+        self.own, self.other = order[first], order[~first]
+        self.often = np.bincount(lead, minlength=len(order))[self.own] if len(order) else self.own
+
+
+def _reduced(batches, length: int, gram: int):
+    for batch in (part for whole in batches for part in rows_of(whole, REDUCE_BYTES)):
+        yield batch, _Reduced(batch, length, gram)
+
+
 def document_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """kind 0: a run, the batch's first of its content; kind 1: covered bytes."""
 
     def run(batches):
-        for batch in (part for whole in batches for part in rows_of(whole, REDUCE_BYTES)):
-            ids, valid = _ids(batch.column("doc_id"))
-            tie = batch.column("tie").to_numpy(zero_copy_only=False)
-            rank = _document_order(ids, valid, tie)
-            _, one = np.unique(rank, return_index=True)  # repeated rows count once
-            data, offsets = text_buffer(batch.column("text").take(pa.array(one)))
-            grams, content, row, start, size = runs(data, offsets, length, gram)
-            order = np.lexsort((start, row, content, grams))  # rows of ``one`` ascend by rank
-            g, c = grams[order], content[order]
-            first = np.ones(len(order), bool)
-            first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-            own, other = order[first], order[~first]
-            yield _runs_batch(batch, one[row[own]], 0, grams[own], content[own], start[own], size[own])
-            if len(other):
+        for batch, r in _reduced(batches, length, gram):
+            yield _runs_batch(batch, r.one[r.row[r.own]], 0, r.grams[r.own], r.start[r.own], r.size[r.own])
+            if len(r.other):
                 # Covered bytes need no meeting: they go where their place says.
-                base = row[other] * (1 << 32)
-                a, z = merged(base + start[other], base + start[other] + size[other] + length - 1)
+                base = r.row[r.other] * (1 << 32)
+                a, z = merged(base + r.start[r.other], base + r.start[r.other] + r.size[r.other] + length - 1)
                 at, a, z = a >> 32, a & 0xFFFFFFFF, z & 0xFFFFFFFF
-                spread = mix64(a.astype(np.uint64) + tie.astype(np.int64).view(np.uint64)[one[at]])
-                yield _runs_batch(batch, one[at], 1, spread, np.zeros(len(a), np.uint64), a, z - a)
+                spread = mix64(a.astype(np.uint64) + r.tie.astype(np.int64).view(np.uint64)[r.one[at]])
+                yield _runs_batch(batch, r.one[at], 1, spread, a, z - a)
 
     return docs.mapInArrow(run, _RUN)
 
 
-def _runs_batch(batch, rows, kind, gram, content, start, size) -> pa.RecordBatch:
+def _runs_batch(batch, rows, kind, gram, start, size) -> pa.RecordBatch:
     take = pa.array(rows, pa.int64())
-    cols = [pa.array(np.full(len(rows), kind, np.int32)), pa.array(gram.view(np.int64)), pa.array(content.view(np.int64)), batch.column("doc_id").take(take), batch.column("tie").take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))]
+    cols = [pa.array(np.full(len(rows), kind, np.int32)), pa.array(gram.view(np.int64)), batch.column("doc_id").take(take), batch.column("tie").take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))]
     return pa.RecordBatch.from_arrays(cols, _RUN_NAMES)
 
 
-def _place(*names: str):
-    return F.struct(*names)
-
-
-def met_runs(found: DataFrame, length: int = LENGTH) -> DataFrame:
-    """kind 1: covered bytes; kind 2: first runs that other runs share a gram
-    with, with the number of parts to split their gram into."""
-    by_gram = Window.partitionBy("kind", "gram")
-    in_order = by_gram.orderBy("content", "doc_id", "tie", "start")
-    equal = Window.partitionBy("kind", "gram", "content").orderBy("doc_id", "tie", "start")
-    place = _place("doc_id", "tie", "start")
-    rows = found.select(
-        "*",
-        F.first(place).over(equal.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_first"),
-        F.lag("content").over(in_order).alias("_before"),
-        F.max("content").over(by_gram).alias("_max"),
-        F.min("content").over(by_gram).alias("_min"),
-        F.sum("size").over(by_gram).alias("_strings"),
-    )
-    new = F.col("_before").isNull() | (F.col("_before") != F.col("content"))
-    kind = (
-        F.when(F.col("kind") == 1, 1)
-        .when(~place.eqNullSafe(F.col("_first")), 1)
-        .when(new & (F.col("_max") != F.col("_min")), 2)
-    )
-    bytes_ = F.when(F.col("kind") == 1, F.col("size")).otherwise(F.col("size") + length - 1)
-    rows = rows.select(kind.alias("_kind"), "gram", "doc_id", "tie", "start", "size", bytes_.alias("_bytes"), F.ceil(F.col("_strings") / SPLIT).cast("int").alias("parts"))
-    rows = rows.filter("_kind IS NOT NULL")
-    return rows.select(F.col("_kind").alias("kind"), "gram", "doc_id", "tie", "start", F.when(F.col("_kind") == 1, F.col("_bytes")).otherwise(F.col("size")).cast("int").alias("size"), "parts")
+def met_grams(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """_gram and _parts of the grams that are the least of several runs. Whether a
+    gram is among them doesn't depend on how the rows come in batches."""
+
+    def run(batches):
+        for _, r in _reduced(batches, length, gram):
+            cols = [r.grams[r.own].view(np.int64), r.content[r.own].view(np.int64), r.often, r.size[r.own]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["gram", "content", "often", "size"])
+
+    found = docs.mapInArrow(run, "gram long, content long, often int, size int")
+    counts = found.groupBy(F.col("gram").alias("_gram")).agg(F.sum("often").alias("n"), F.min("content").alias("a"), F.max("content").alias("b"), F.sum("size").alias("strings"), F.sum(F.col("size") + length - 1).alias("bytes"))
+    # Runs of one content make one piece of a block, however many they are.
+    split = (F.col("a") != F.col("b")) & (F.col("bytes") > SPLIT)
+    parts = F.when(split, F.ceil(F.col("strings") * length / SPLIT)).otherwise(1)
+    return counts.filter("n > 1").select("_gram", parts.cast("int").alias("_parts"))
+
+
+def met_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """kind 1: covered bytes; kind 0: runs that other runs share a gram with, and
+    the number of parts to split their gram into."""
+    rows = document_runs(docs, length, gram)
+    met = rows.join(met_grams(docs, length, gram), F.col("gram") == F.col("_gram"), "left").filter("kind = 1 OR _parts IS NOT NULL")
+    bytes_ = F.when(F.col("kind") == 1, F.col("size"))
+    return met.select("kind", "gram", "doc_id", "tie", "start", F.coalesce(bytes_, "size").alias("size"), F.col("_parts").alias("parts"))
 
 
 _CONTEXT = "shard long, doc_id long, tie long, start int, size int, bytes binary"
@@ -237,7 +272,7 @@ def run_bytes(wanted: DataFrame, docs: DataFrame, length: int = LENGTH) -> DataF
             if out:
                 yield _context_batch(out)
 
-    by_doc = wanted.groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("gram", "start", "size", "parts")).alias("_runs"))
+    by_doc = wanted.groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_set(F.struct("gram", "start", "size", "parts")).alias("_runs"))
     met = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")))
     return met.select("doc_id", "tie", "text", "_runs").mapInArrow(run, _CONTEXT)
 
@@ -246,43 +281,67 @@ def _context_batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _CONTEXT_TYPES, strict=True)], _CONTEXT_NAMES)
 
 
-def repeated_strings(pieces: list[bytes], rank: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_strings(pieces, rank: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece, first, stop) of runs of strings that another piece or place holds
     earlier, where ``rank`` orders the pieces' documents."""
-    sizes = np.array([len(p) for p in pieces]) + 1
-    text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int32) + 2
+    return _repeated(pieces, rank, start, length)[:3]
+
+
+def _repeated(pieces, rank: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """``repeated_strings`` and the first of each distinct piece."""
+    coded = (pieces if isinstance(pieces, pa.Array) else pa.array(pieces, pa.binary())).dictionary_encode()
+    of = coded.indices.to_numpy()
+    members = np.lexsort((start, rank, of))
+    head = np.ones(len(members), bool)
+    head[1:] = of[members[1:]] != of[members[:-1]]
+    lead = members[head]  # the first of each distinct piece
+    sizes, whole = _text(coded.dictionary)
     ends = np.cumsum(sizes)
-    text[ends - 1] = 1
-    whole = np.append(text, np.int32(0))
     begin = ends - sizes
-    del text
     sa = suffix_array(whole, 258)
-    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+    piece = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     inside = np.arange(len(piece), dtype=np.int32) - begin.astype(np.int32)[piece]
     full = np.append(inside + length < sizes[piece], False)
     sa = sa[full[sa]]  # what stands between equal strings is long enough itself
     if not len(sa):
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty
+        return empty, empty, empty, lead
     # Symbols fit a byte but for the last of the alphabet, which UTF-8 has not.
     common = permuted_common_prefixes(whole.astype(np.uint8), sa, length)
     group = np.cumsum(common[sa] < length)
-    place = start[piece[sa]] + inside[sa]
-    doc = rank[piece[sa]]
+    place = start[lead][piece[sa]] + inside[sa]
+    doc = rank[lead][piece[sa]]
     order = np.lexsort((place, doc, group))
     g = group[order]
-    head = np.ones(len(g), bool)
-    head[1:] = g[1:] != g[:-1]
-    lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    again = (doc[order] != doc[lead]) | (place[order] != place[lead])
+    new = np.ones(len(g), bool)
+    new[1:] = g[1:] != g[:-1]
+    least = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    again = (doc[order] != doc[least]) | (place[order] != place[least])
     at = np.sort(sa[order[again]])
-    if not len(at):
-        return at, at, at
     edge = np.ones(len(at), bool)
     edge[1:] = (at[1:] != at[:-1] + 1) | (piece[at[1:]] != piece[at[:-1]])
     first = np.flatnonzero(edge)
-    last = np.append(first[1:], len(at)) - 1
-    return piece[at[first]], inside[at[first]], inside[at[last]] + 1
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    # The other places of a piece have each of its strings in the array again.
+    strings = np.bincount(piece[sa], minlength=len(sizes))
+    of_lead = lead[of]
+    more = np.flatnonzero(((rank != rank[of_lead]) | (start != start[of_lead])) & (strings[of] > 0))
+    return (
+        np.concatenate([lead[piece[at[first]]], more]),
+        np.concatenate([inside[at[first]], np.zeros(len(more), np.int64)]),
+        np.concatenate([inside[at[last]] + 1, strings[of[more]]]),
+        lead,
+    )
+
+
+def _text(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes with their separators, and all pieces as the symbols of one text."""
+    held = pieces.to_pylist()
+    sizes = np.array([len(p) for p in held], np.int64) + 1
+    text = np.frombuffer(b"\0".join(held) + b"\0\0", np.uint8).astype(np.int32) + 2
+    text[np.cumsum(sizes) - 1] = 1
+    text[-1] = 0
+    return sizes, text
 
 
 _COVER = "doc_id long, tie long, start int, size int"
@@ -291,18 +350,21 @@ _COVER = "doc_id long, tie long, start int, size int"
 def sorted_shards(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
     """Covered bytes that the shards' suffix arrays show."""
 
-    def block(held: list[pa.RecordBatch]):
-        rows = pa.Table.from_batches(held).combine_chunks()
-        ids, valid = _ids(rows.column("doc_id").combine_chunks())
+    def block(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+        """Covered bytes, and a row of each piece with a string that nothing covers."""
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ids, valid = _ids(rows.column("doc_id"))
         tie = rows.column("tie").to_numpy()
         start = rows.column("start").to_numpy().astype(np.int64)
-        piece, a, z = repeated_strings(rows.column("bytes").to_pylist(), _document_order(ids, valid, tie), start, length)
+        piece, a, z, lead = _repeated(rows.column("bytes"), _document_order(ids, valid, tie), start, length)
         take = pa.array(piece, pa.int64())
         cols = [rows.column("doc_id").take(take), rows.column("tie").take(take), pa.array((start[piece] + a).astype(np.int32)), pa.array((z - a + length - 1).astype(np.int32))]
-        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], ["doc_id", "tie", "start", "size"])
+        left = np.zeros(rows.num_rows, bool)
+        left[lead] = (rows.column("size").to_numpy() > np.bincount(piece, z - a, rows.num_rows))[lead]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "tie", "start", "size"]), rows.filter(pa.array(left))
 
     def run(batches):
-        held, size, now = [], 0, None
+        held, size, limit, now = [], 0, ROUND_BYTES, None
         for batch in batches:
             shard = batch.column("shard").to_numpy()
             lengths = batch.column("size").to_numpy()
@@ -310,14 +372,22 @@ def sorted_shards(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
             for a, z in zip(edge[:-1], edge[1:], strict=True):
                 if a == z:
                     continue
-                if size >= SHARD_BYTES and shard[a] != now:
-                    yield block(held)
-                    held, size = [], 0
-                now = shard[a]
+                if shard[a] != now:
+                    if size >= SHARD_BYTES:
+                        yield block(held)[0]
+                        held, size = [], 0
+                    now, limit = shard[a], ROUND_BYTES
+                elif size >= limit:
+                    # More of a large shard: what is left of it so far goes on.
+                    found, left = block(held)
+                    yield found
+                    left = left.filter(pa.array(left.column("shard").to_numpy() == now))
+                    held, size = [left], int(left.column("size").to_numpy().sum()) + left.num_rows * length
+                    limit = max(ROUND_BYTES, 2 * size)
                 held.append(batch.slice(a, z - a))
                 size += int(lengths[a:z].sum()) + (z - a) * length
         if held:
-            yield block(held)
+            yield block(held)[0]
 
     dealt = contexts.repartition(partitions(contexts.sparkSession), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, _COVER)
@@ -329,8 +399,9 @@ def covered_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     ``docs`` has doc_id, text (not null) and tie, the text's hash. What is
     written on the way holds places, never texts.
     """
-    met = cut(met_runs(document_runs(docs, length, gram), length), "runs")
-    sorted_ = sorted_shards(run_bytes(met.filter("kind = 2"), docs, length), length)
+    ship(docs.sparkSession)
+    met = cut(met_runs(docs, length, gram), "runs")
+    sorted_ = sorted_shards(run_bytes(met.filter("kind = 0"), docs, length), length)
     covered = met.filter("kind = 1").select("doc_id", "tie", "start", "size").unionByName(sorted_)
     return covered.groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("start", "size")).alias("_covered"))
 

@@ -11,10 +11,6 @@ from array import array
 
 import numpy as np
 
-from marlstone.llm.common import mix64
-
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-
 
 def s_types(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the last is."""
@@ -28,24 +24,27 @@ def s_types(s: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Symbols of LMS substrings that are compared at a time.
+_COMPARE = 1 << 18
+
+
 def _name(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
-    """Names of the LMS substrings, which ``ordered`` sorts; equal substrings
-    are found by their 64-bit hashes and lengths."""
-    n = len(s)
-    power = np.full(n, _BASE, np.uint64)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    prefix = np.zeros(n + 1, np.uint64)
-    prefix[1:] = mix64(s.astype(np.uint64) + np.uint64(1))
-    prefix[1:] *= power
-    np.cumsum(prefix, out=prefix)
-    stop = np.append(lms[1:], n - 1) + 1
-    # Compare by scaling to the same power: h(i) * base**(n - i).
-    value = (prefix[stop] - prefix[lms]) * power[n - 1 - lms]
+    """Names of the LMS substrings, which ``ordered`` sorts: neighbours of one
+    length are compared symbol by symbol."""
     rank = np.searchsorted(lms, ordered)
-    v, size = value[rank], (stop - lms)[rank]
+    size = (np.append(lms[1:], len(s) - 1) + 1 - lms)[rank]
     new = np.ones(len(rank), np.int64)
-    new[1:] = (v[1:] != v[:-1]) | (size[1:] != size[:-1])
+    at = np.flatnonzero(size[1:] == size[:-1]) + 1
+    ends = np.cumsum(size[at])
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - size[at[i]] + _COMPARE, "right")))
+        some, n = at[i:j], size[at[i:j]]
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(first, n)
+        differ = s[np.repeat(ordered[some], n) + step] != s[np.repeat(ordered[some - 1], n) + step]
+        new[some] = np.logical_or.reduceat(differ, first)
+        i = j
     names = np.empty(len(lms), np.int64)
     names[rank] = np.cumsum(new) - 1
     return names, int(new.sum())

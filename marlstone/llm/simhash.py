@@ -2,9 +2,11 @@
 
 Two fingerprints at most ``radius`` bits apart have a common variant within half
 the radius of both. Every distinct fingerprint therefore goes to all variants of
-its PREFIX leading bits within half the radius; the task that holds a prefix
-expands the rest of the variants there, so the shuffle carries tens of rows a
-fingerprint and not the thousands of the whole ball. Fingerprints that collide
+its leading bits within half the radius; the task that holds a prefix expands the
+rest of the variants there, so the shuffle carries tens or hundreds of rows a
+fingerprint and not the thousands of the whole ball. The prefix is as long as the
+counted fingerprints need, so that no prefix has more than LOAD of them, however
+many there are and however close together. Fingerprints that collide
 on a variant are linked to the smallest among them, never pairwise; a link is
 verified by its distance. Links make components by alternating large-star and
 small-star steps over tables in the shared folder.
@@ -25,9 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, drop_cut, packed, partitions, rows_of, unpacked
+from marlstone.llm.common import cut, drop_cut, packed, partitions, rows_of, ship, unpacked
 
-BITS, PREFIX = 64, 12
+#: Bits of a fingerprint; bits of the shortest and longest prefixes, and the
+#: fingerprints of a prefix beyond which it takes STEP bits more. Beyond DEEPEST a
+#: prefix is expanded part by part in its task.
+BITS, PREFIX, STEP, DEEPEST, LOAD = 64, 12, 4, 40, 1 << 16
 #: Variants that a task holds at a time; a prefix with more is split further.
 VARIANTS = 1 << 20
 #: Shingle hashes whose bits are counted at a time.
@@ -149,23 +154,38 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _spread(fps: DataFrame, bits: int, half: int) -> DataFrame:
+    """prefix and fp: each fingerprint under all variants of its leading bits."""
+    masks = np.concatenate([_masks(0, bits, k) for k in range(min(half, bits) + 1)]) >> np.uint64(BITS - bits)
+    spread = fps.select("fp", F.explode(F.array(*[F.lit(int(m)) for m in masks])).alias("_m"))
+    return spread.select(F.shiftrightunsigned("fp", BITS - bits).bitwiseXOR(F.col("_m")).alias("prefix"), "fp")
+
+
+def prefix_bits(fps: DataFrame, half: int) -> int:
+    """Bits of the shortest prefix that no more than LOAD fingerprints share, with
+    their variants; counted with partial sums, so only the largest is known here."""
+    for bits in range(PREFIX, DEEPEST, STEP):
+        most = _spread(fps, bits, half).groupBy("prefix").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+        if most <= LOAD:
+            return bits
+    return DEEPEST
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a > b) that join all distinct fingerprints at most ``radius`` bits
     apart, directly or over others: a star for each prefix and component."""
     half, spark = radius // 2, fps.sparkSession
     if radius % 2:
         raise ValueError("the radius must be even")
-    masks = np.concatenate([_masks(0, PREFIX, k) for k in range(min(half, PREFIX) + 1)]) >> np.uint64(BITS - PREFIX)
-    spread = fps.select("fp", F.explode(F.array(*[F.lit(int(m)) for m in masks])).alias("_m"))
-    spread = spread.select(F.shiftrightunsigned("fp", BITS - PREFIX).bitwiseXOR(F.col("_m")).cast("int").alias("prefix"), "fp")
-    dealt = spread.repartition(partitions(spark), "prefix").sortWithinPartitions("prefix")
+    bits = prefix_bits(fps, half)
+    dealt = _spread(fps, bits, half).repartition(partitions(spark), "prefix").sortWithinPartitions("prefix")
 
     def group(prefix: int, found: np.ndarray):
         found = np.unique(found.view(np.uint64))
-        flips = np.bitwise_count((found >> np.uint64(BITS - PREFIX)) ^ np.uint64(prefix)).astype(np.int64)
+        flips = np.bitwise_count((found >> np.uint64(BITS - bits)) ^ np.uint64(prefix)).astype(np.int64)
         if len(found) < 2:
             return None
-        pairs = [p for p in collisions(found, np.arange(len(found)), half - flips, PREFIX) if p.size]
+        pairs = [p for p in collisions(found, np.arange(len(found)), half - flips, bits) if p.size]
         if not pairs:
             return None
         a, b = np.concatenate(pairs, axis=1)
@@ -194,6 +214,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
                 held.append(part.astype(np.int64))
         yield from close()
 
+    ship(spark)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -222,19 +243,29 @@ def connected(edges: DataFrame) -> DataFrame:
         now = after
 
 
-def _rooted(own: DataFrame, radius: int) -> DataFrame:
-    """``own``, a row per distinct fp, with the root of its component."""
+#: Copies of what is known of a component, so that its fingerprints meet it in as
+#: many tasks.
+SALT = 32
+
+
+def _components(own: DataFrame, radius: int, value: str) -> DataFrame:
+    """fp and the least ``value`` of its component; ``own`` has a row per distinct
+    fp. Fingerprints without a link keep their own; the others' roots meet them
+    salted, as one component may hold a third of all fingerprints."""
     stars = connected(links(own.select("fp"), radius))
-    return own.join(stars, own.fp == stars.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    ends = stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
+    linked = cut(own.join(ends, "fp", "left").select("fp", value, "root"), "components")
+    some = linked.filter("root IS NOT NULL")
+    least = some.groupBy("root").agg(F.min(value).alias(value)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = some.select("fp", "root", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int").alias("_salt"))
+    return salted.join(least, ["root", "_salt"]).select("fp", value).unionByName(linked.filter("root IS NULL").select("fp", value))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id: the smallest doc_id that
     links of at most ``radius`` differing bits reach."""
     rows = cut(fingerprints(docs, shingle, seed), "fingerprints")
-    rooted = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), radius)
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    of = _components(rows.groupBy("fp").agg(F.min("doc_id").alias("component_id")), radius, "component_id")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -244,8 +275,9 @@ def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int =
     of fully repeated rows one stays."""
     rows = cut(fingerprints(docs, shingle, seed, "_tie"), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tie")
-    rooted = _rooted(rows.groupBy("fp").agg(F.min(place).alias("least")), radius)
-    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_doc"), F.col("least._tie").alias("_of"))
+    of = _components(rows.groupBy("fp").agg(F.min(place).alias("least")), radius, "least")
+    # Each component's least, by the fingerprints that have it.
+    stay = of.select(F.col("least.doc_id").alias("_doc"), F.col("least._tie").alias("_of")).distinct()
     own = packed(docs).withColumn("_tie", F.xxhash64("text"))
     met = own.join(stay, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_tie") == F.col("_of")))
     return unpacked(met.dropDuplicates(["_doc", "_of"]), docs)

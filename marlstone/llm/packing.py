@@ -2,9 +2,11 @@
 
 Each document's token ids make a signed, hashed count vector; a fixed random
 projection takes it to a few dimensions, whose Hilbert index is the sort key.
-Documents are dealt by range of (key, doc_id), so copies by the thousand split
-over partitions, and each partition fills sequences with its documents in
-curve order, cutting where one is full. What a partition has left at its end
+Documents are cut into chunks of a sequence's size and dealt by range of (key,
+doc_id, text hash, start), so ranges hold about as many ids however long their documents
+are, and copies by the thousand split over partitions. Each partition fills
+sequences with its chunks in curve order, cutting where one is full; chunks of a
+document that stay together are one piece. What a partition has left at its end
 goes to sequences whose lengths are powers of two, so none is padded.
 
 Defined results: null text is the empty text (its end id alone); rows with a
@@ -13,14 +15,13 @@ null or repeated id are packed as any other; an empty table gives no rows.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, mix64, partitions, rows_of
+from marlstone.llm.common import cut, mix64, partitions, rows_of, ship
 from marlstone.llm.encode import encoder
 
 #: Hashed vector's width, dimensions of the curve, bits of each.
@@ -74,8 +75,14 @@ def curve_key(vectors: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return hilbert(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, ids (two or four bytes each, see ``wide``) and curve key."""
+_CHUNK = "doc_id long, tie long, start long, total long, ids binary, wide int, curve long"
+_CHUNK_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+_CHUNK_NAMES = [x.split()[0] for x in _CHUNK.split(", ")]
+
+
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
+    """Chunks of at most ``size`` ids (two or four bytes each, see ``wide``) with
+    the ids before them, all of the document, and its curve key."""
 
     def run(batches):
         enc, matrix = encoder(tokenizer), projection()
@@ -84,10 +91,13 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             for part in rows_of(batch):
                 ids = [enc.encode(t or "") + end for t in part.column("text").to_pylist()]
                 keys = curve_key(np.array([hashed_vector(np.frombuffer(x, enc.dtype)) for x in ids]), matrix)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([enc.dtype.itemsize] * len(ids), pa.int32()), pa.array(keys, pa.int64())], ["doc_id", "ids", "wide", "curve"])
+                wide = enc.dtype.itemsize
+                of = zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), ids, keys.tolist(), strict=True)
+                rows = [(d, t, a // wide, len(x) // wide, x[a : a + size * wide], wide, k) for d, t, x, k in of for a in range(0, len(x), size * wide)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CHUNK_TYPES, strict=True)], _CHUNK_NAMES)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, ids binary, wide int, curve long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    return rows.mapInArrow(run, _CHUNK)
 
 
 class _Filler:
@@ -96,10 +106,15 @@ class _Filler:
     def __init__(self, size: int, base: int):
         self.size, self.sequence, self.used, self.open, self.done = size, base, 0, [], []
 
-    def add(self, doc, ids: np.ndarray, total: int, start: int = 0) -> None:
+    def add(self, doc: tuple, ids: np.ndarray, total: int, start: int = 0) -> None:
+        """``doc``: its id and its text's hash."""
         while len(ids):
             take = min(len(ids), self.size - self.used)
-            self.open.append((doc, start, take, total, self.sequence, self.used, ids[:take]))
+            last = self.open[-1] if self.open else None
+            if last and start and last[0] == doc and last[3] == total and last[1] + last[2] == start:
+                self.open[-1] = (doc, last[1], last[2] + take, total, self.sequence, last[5], np.concatenate([last[6], ids[:take]]))
+            else:
+                self.open.append((doc, start, take, total, self.sequence, self.used, ids[:take]))
             self.used += take
             start += take
             ids = ids[take:]
@@ -146,22 +161,23 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) ->
         def flush():
             rows, filler.done = filler.done, []
             cols = list(zip(*rows, strict=True))
-            data = [cols[0], cols[1], cols[2], [x.astype("<u4").tobytes() for x in cols[6]], cols[3], cols[4], cols[5]]
+            data = [[doc for doc, _ in cols[0]], cols[1], cols[2], [x.astype("<u4").tobytes() for x in cols[6]], cols[3], cols[4], cols[5]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, _TYPES, strict=True)], _NAMES)
 
         for batch in batches:
-            for doc, raw, wide in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "wide")), strict=True):
-                ids = np.frombuffer(raw, f"<u{wide}")
-                filler.add(doc, ids, len(ids))
+            for doc, tie, start, total, raw, wide in zip(*(batch.column(c).to_pylist() for c in _CHUNK_NAMES[:6]), strict=True):
+                filler.add((doc, tie), np.frombuffer(raw, f"<u{wide}"), total, start)
                 if len(filler.done) >= _FLUSH:
                     yield flush()
         filler.finish()
         if filler.done:
             yield flush()
 
-    rows = cut(tokenized(docs, tokenizer, end_id), "token-ids")
-    dealt = rows.repartitionByRange(partitions(docs.sparkSession), "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
-    return dealt.select("doc_id", "ids", "wide").mapInArrow(fill, _OUT)
+    ship(docs.sparkSession)
+    rows = cut(tokenized(docs, tokenizer, end_id, size), "token-ids")
+    order = ("curve", "doc_id", "tie", "start")
+    dealt = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return dealt.drop("curve").mapInArrow(fill, _OUT)
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 A shard holds the ids of consecutive documents in one array, then the document
 borders and the document ids as Elias-Fano sequences: about two bits plus
 log2(mean gap) an entry, and any border is read by one select. A shard ends in
-a JSON footer, so it is written and read as a stream.
+a JSON footer, so it is written and read as a stream, and is closed at SHARD_BYTES:
+a task writes as many as its documents need, in memory of one shard's borders.
 
 Defined results: null text is the empty text (its end id alone); null ids come
 first; rows that share an id follow the hash of their text; an empty table
@@ -29,11 +30,18 @@ from marlstone.llm.encode import encoder
 MAGIC = b"MLTOKEN1"
 #: A select sample is kept for every so many ones.
 SAMPLE = 256
+#: Bytes of ids after which a shard is closed, and the documents of it; a longer
+#: document is a shard of its own.
+SHARD_BYTES, SHARD_DOCS = 64 << 20, 1 << 20
 #: Documents a result batch of the reader holds, and ids it reads at once.
 READ_DOCS, READ_IDS = 4096, 1 << 20
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
+#: Entries whose lower bits are packed at a time, a multiple of eight.
+_PACK = 1 << 13
+
+
 class EliasFano:
     """A non-decreasing sequence of unsigned integers with ``select``."""
 
@@ -51,10 +59,11 @@ class EliasFano:
         top = int(values[-1]) if n else 0
         bits = max(0, (top // n).bit_length() - 1) if n else 0
         upper = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        flags = np.zeros((int(upper[-1]) // 8 + 1) * 8 if n else 8, np.uint8)
-        flags[upper] = 1
-        low = (values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
-        return cls(n, bits, np.packbits(low.astype(np.uint8).ravel(), bitorder="little"), np.packbits(flags, bitorder="little"))
+        high = np.zeros(int(upper[-1]) // 8 + 1 if n else 1, np.uint8)
+        np.bitwise_or.at(high, upper >> 3, np.left_shift(np.uint8(1), (upper & 7).astype(np.uint8)))
+        # Whole bytes of lower bits at a time: no matrix of all of them.
+        low = [np.packbits(((values[i : i + _PACK, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for i in range(0, n, _PACK)]
+        return cls(n, bits, np.concatenate(low) if low else np.zeros(0, np.uint8), high)
 
     def to_bytes(self) -> bytes:
         return struct.pack("<qqqq", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
@@ -85,32 +94,47 @@ class EliasFano:
         return ((ones[i - int(self.before[k])] - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._lower(i)
 
 
-def write_shard(out, batches, path: str, end_id: int) -> dict:
-    """Write the documents of ``batches`` (doc_id, text) to the stream ``out``."""
-    enc = encoder(path)
-    end = np.array([end_id], enc.dtype).tobytes()
+def write_shard(out, parts, dtype: np.dtype) -> dict:
+    """Write a shard to the stream ``out``: ``parts`` are pairs of doc_ids (an
+    Arrow array) and the documents' ids (bytes, with their end id)."""
     out.write(MAGIC)
-    sizes, ids, nulls = [0], [], 0
-    for batch in batches:
-        for part in rows_of(batch):
-            found = [enc.encode(t or "") + end for t in part.column("text").to_pylist()]
-            out.write(b"".join(found))
-            sizes += [len(x) // enc.dtype.itemsize for x in found]
-            keys = part.column("doc_id")
-            nulls += keys.null_count
-            ids.append(keys.drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
-    starts = np.cumsum(np.array(sizes, np.int64))
-    keys = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    sizes, ids, nulls = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], 0
+    for keys, found in parts:
+        out.write(b"".join(found))
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)) // dtype.itemsize)
+        nulls += keys.null_count
+        ids.append(keys.drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
+    starts, keys = np.cumsum(np.concatenate(sizes)), np.concatenate(ids)
     least = int(keys[0]) if len(keys) else 0
     blocks = [EliasFano.encode(starts).to_bytes(), EliasFano.encode(keys.view(np.uint64) - np.uint64(least & (1 << 64) - 1)).to_bytes()]
     for b in blocks:
         out.write(b)
-    info = {"n_docs": len(sizes) - 1, "n_ids": int(starts[-1]), "null_ids": nulls, "least_id": least, "dtype": enc.dtype.str, "blocks": [len(b) for b in blocks]}
+    info = {"n_docs": len(starts) - 1, "n_ids": int(starts[-1]), "null_ids": nulls, "least_id": least, "dtype": dtype.str, "blocks": [len(b) for b in blocks]}
     raw = json.dumps(info).encode()
     out.write(raw + struct.pack("<q", len(raw)) + MAGIC)
     return info
 
 
+def encoded(batches, path: str, end_id: int, limit: int):
+    """(doc_ids, ids) of the documents of ``batches`` (doc_id, text), and None
+    after those that fill a shard."""
+    enc = encoder(path)
+    end = np.array([end_id], enc.dtype).tobytes()
+    size = docs = 0
+    for batch in batches:
+        for part in rows_of(batch):
+            found, first = [], 0
+            for i, text in enumerate(part.column("text").to_pylist()):
+                found.append(enc.encode(text or "") + end)
+                size, docs = size + len(found[-1]), docs + 1
+                if size >= limit or docs >= SHARD_DOCS:
+                    yield part.column("doc_id").slice(first, len(found)), found
+                    yield None
+                    found, first, size, docs = [], i + 1, 0, 0
+            if found:
+                yield part.column("doc_id").slice(first, len(found)), found
+
+
 class Shard:
     """Random access to a shard's documents."""
 
@@ -150,11 +174,12 @@ class Shard:
             i = j
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write all texts in ascending doc_id order; return the shards' manifest.
 
     The rows are dealt by range of (doc_id, text hash), so neither a large
-    table nor a repeated id fills one shard. A shard's name is new for every
+    table nor a repeated id fills one task; ``shard`` numbers the files in order. A
+    shard's name is new for every
     task attempt and only the manifest names it: what a lost executor leaves
     behind is never read.
     """
@@ -164,21 +189,23 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str |
     def write(batches):
         fs, at = filesystem(folder)
         fs.create_dir(at, recursive=True)
-        batches = iter(batches)
-        first = next(batches, None)
-        while first is not None and not first.num_rows:
-            first = next(batches, None)
-        if first is None:
-            return
-
-        def rest():
-            yield first
-            yield from batches
-
-        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"
-        with fs.open_output_stream(f"{at}/{name}") as out:
-            info = write_shard(out, rest(), tokenizer, end_id)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int64()), "path": [f"{folder}/{name}"], "n_docs": pa.array([info["n_docs"]], pa.int64()), "n_ids": pa.array([info["n_ids"]], pa.int64())})
+        parts, dtype, task = encoded(batches, tokenizer, end_id, shard_bytes), encoder(tokenizer).dtype, TaskContext.get().partitionId()
+        first = next(parts, None)
+        count = 0
+        while first is not None:
+
+            def rest():
+                yield first
+                for part in parts:
+                    if part is None:
+                        return
+                    yield part
+
+            path = f"{at}/part-{task:06d}-{count:06d}-{uuid.uuid4().hex}.tok"
+            with fs.open_output_stream(path) as out:
+                info = write_shard(out, rest(), dtype)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([(task << 32) + count], pa.int64()), "path": [f"{folder}/{path.rsplit('/', 1)[1]}"], "n_docs": pa.array([info["n_docs"]], pa.int64()), "n_ids": pa.array([info["n_ids"]], pa.int64())})
+            first, count = next(parts, None), count + 1
 
     dealt = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -2,9 +2,10 @@
 
 Both sides keep the minimum hash of GRAM consecutive words in every window of
 ``window - GRAM + 1`` grams, so two texts that share ``window`` consecutive words
-share a fingerprint. Fingerprints are joined; the pairs of document and item
-that meet are then extended on the words themselves, which makes the result
-exact. Items shorter than a window keep one fingerprint of all their words
+share a fingerprint. Fingerprints are joined; the items that a document meets are
+then extended on the words themselves, which makes the result exact. A benchmark
+of a measured size is joined in every task, so documents stay where they are; a
+larger one meets the documents' fingerprints by shuffles. Items shorter than a window keep one fingerprint of all their words
 (winnowing with a window of one), and documents keep as many grams of those
 lengths.
 
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import blocks, mix64, packed, prefix_hash, span_hash, text_buffer, unpacked
+from marlstone.llm.common import blocks, cut, drop_cut, mix64, packed, prefix_hash, ship, span_hash, text_buffer, unpacked
 
 #: Words of a fingerprint; the window of grams follows from the shared span.
 GRAM = 6
-#: Most fingerprints of the benchmark that are broadcast (16 bytes each); more
-#: are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
+#: Most fingerprints and bytes of the benchmark that are broadcast; more are
+#: joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1 << 18, 8 << 20
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 _WORD = np.zeros(256, bool)
@@ -137,24 +138,30 @@ def document_fingerprints(docs: DataFrame, lengths: list[int], window: int, gram
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def spans_of(own: list[bytes], window: int) -> tuple[int, dict[bytes, int], np.ndarray]:
+    """Words of an item's windows, the windows by their words, and their hashes."""
+    n = min(window, len(own))
+    spans = dict.fromkeys(b" ".join(own[k : k + n]) for k in range(len(own) - n + 1)) if n else {}
+    return n, spans, np.array([_join_hash(s, n) for s in spans], np.uint64)
+
+
 def extend(words: list[bytes], hashes: np.ndarray, items: list[tuple[str, list[bytes]]], window: int) -> tuple[np.ndarray, set[str]]:
     """Words hit by the items' windows, and the items that have one."""
+    return extended(words, hashes, [(item, spans_of(own, window)) for item, own in items])
+
+
+def extended(words: list[bytes], hashes: np.ndarray, items: list[tuple[str, tuple]]) -> tuple[np.ndarray, set[str]]:
+    """``extend`` with the items' windows at hand."""
     hit, found = np.zeros(len(words) + 1, np.int64), set()
-    by_length: dict[int, dict[bytes, set[str]]] = {}
-    for item, own in items:
-        n = min(window, len(own))
-        spans = by_length.setdefault(n, {})
-        for k in range(len(own) - n + 1):
-            spans.setdefault(b" ".join(own[k : k + n]), set()).add(item)
-    for n, spans in by_length.items():
+    grams: dict[int, np.ndarray] = {}
+    for item, (n, spans, known) in items:
         if not n or len(words) < n:
             continue
-        known = np.array([_join_hash(s, n) for s in spans], np.uint64)
-        grams = gram_hashes(hashes, n)
-        for at in np.flatnonzero(np.isin(grams, known)):
-            owners = spans.get(b" ".join(words[at : at + n]))
-            if owners:
-                found |= owners
+        if n not in grams:
+            grams[n] = gram_hashes(hashes, n)
+        for at in np.flatnonzero(np.isin(grams[n], known)).tolist():
+            if b" ".join(words[at : at + n]) in spans:
+                found.add(item)
                 hit[at] += 1
                 hit[at + n] -= 1
     return np.cumsum(hit[:-1]) > 0, found
@@ -169,54 +176,107 @@ def _join_hash(span: bytes, n: int) -> int:
 _OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start:int,stop:int>>"
 
 
-def met_items(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = GRAM) -> DataFrame:
+class Benchmark:
+    """A benchmark in memory: its fingerprints with their items, in order, and the
+    windows of the items that were met so far."""
+
+    def __init__(self, ids: list[str], texts: list[str], fps: np.ndarray, owners: np.ndarray, window: int, gram: int):
+        order = np.argsort(fps, kind="stable")
+        self.fps, self.owners = fps[order], owners[order]
+        self.ids, self.texts, self.window, self.gram = ids, texts, window, gram
+        self.spans: dict[int, tuple] = {}
+
+    @classmethod
+    def of(cls, rows: list, window: int, gram: int) -> Benchmark:
+        """``rows``: (item_id, text, fp), an item's together or not."""
+        place = {k: i for i, k in enumerate(dict.fromkeys((r.item_id, r.text) for r in rows))}
+        ids, texts = [k[0] for k in place], [k[1] for k in place]
+        fps, owners = np.array([r.fp for r in rows], np.int64).view(np.uint64), np.array([place[r.item_id, r.text] for r in rows], np.int64)
+        return cls(ids, texts, fps, owners, window, gram)
+
+    def __getstate__(self):
+        return {**self.__dict__, "spans": {}}
+
+    def items(self, some: np.ndarray) -> list[tuple[str, tuple]]:
+        out = []
+        for i in some.tolist():
+            if i not in self.spans:
+                self.spans[i] = spans_of(_words(self.texts[i]), self.window)
+            out.append((self.ids[i], self.spans[i]))
+        return out
+
+    def meet(self, rows: np.ndarray, hashes: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
+        """The items that share a fingerprint with each row, by row."""
+        row, value = fingerprints(hashes, rows, lengths, self.window, self.gram)
+        first, last = np.searchsorted(self.fps, value, "left"), np.searchsorted(self.fps, value, "right")
+        some = np.flatnonzero(first < last)
+        out: dict[int, list] = {}
+        for i in some.tolist():
+            out.setdefault(int(row[i]), []).append(self.owners[first[i] : last[i]])
+        return {k: np.unique(np.concatenate(v)) for k, v in out.items()}
+
+
+def _benchmark(items: DataFrame, window: int, gram: int):
+    """Fingerprints of the items, the lengths of short ones, and the benchmark
+    broadcast if its measured size allows."""
+    ship(items.sparkSession)
+    fps = cut(item_fingerprints(items, window, gram), "fingerprints")
+    bytes_ = fps.groupBy("item_id", F.xxhash64("text").alias("h")).agg(F.max(F.octet_length("text")).alias("n")).agg(F.sum("n").alias("n")).first().n or 0
+    count = fps.count()
+    # At most window - 1 lengths.
+    lengths = [r[0] for r in fps.filter(F.col("n_words") < window).select("n_words").distinct().collect()]
+    shared = None
+    if count <= BROADCAST_ROWS and bytes_ <= BROADCAST_BYTES:
+        shared = items.sparkSession.sparkContext.broadcast(Benchmark.of(fps.select("item_id", "text", "fp").collect(), window, gram))
+        drop_cut(fps)
+    return fps, lengths, shared
+
+
+def met_items(docs: DataFrame, fps: DataFrame, items: DataFrame, lengths: list[int], window: int = 10, gram: int = GRAM) -> DataFrame:
     """The rows of ``docs``, with the items that share a fingerprint as _items.
 
     Only fingerprints are joined; documents then meet the texts of their items.
-    The fingerprints of the benchmark are broadcast when their counted number is
-    at most BROADCAST_ROWS.
     """
-    fps = item_fingerprints(items, window, gram).cache()
-    try:
-        count = fps.count()
-        # At most window - 1 lengths.
-        lengths = [r[0] for r in fps.filter(F.col("n_words") < window).select("n_words").distinct().collect()]
-    finally:
-        fps.unpersist()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Items may share an id, so the hash of the text tells them apart.
     known = fps.select("fp", "item_id", F.xxhash64("text").alias("_hash"))
-    known = F.broadcast(known) if count <= BROADCAST_ROWS else known
     pairs = document_fingerprints(own, lengths, window, gram).join(known, "fp").select("doc_id", "item_id", "_hash").distinct()
     texts = items.select(F.col("item_id").cast("string").alias("item_id"), F.xxhash64("text").alias("_hash"), F.col("text").alias("item_text")).distinct()
     pairs = pairs.join(texts, ["item_id", "_hash"]).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("item_id", "item_text")).alias("_items"))
     return docs.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
 
 
-def _hits(batch: pa.RecordBatch, window: int):
-    """(row, number of words, flags of hit words, items) of a batch's rows."""
-    texts, items_of = batch.column("text"), batch.column("_items")
+def _hits(batch: pa.RecordBatch, window: int, lengths: list[int], shared=None):
+    """(row, number of words, flags of hit words, items) of a batch's rows; their
+    items are in _items, or found in the broadcast benchmark."""
+    texts = batch.column("text")
     _, offsets = text_buffer(texts)
     for i, j in blocks(offsets):
         low, starts, stops, rows, hashes = _hashed(texts, i, j)
         cuts = np.searchsorted(rows, np.arange(j - i + 1))
-        raw = low.tobytes()
+        met = shared.value.meet(rows, hashes, lengths) if shared else {}
+        raw = low.tobytes() if met or not shared else b""
         for k in range(j - i):
             a, b = int(cuts[k]), int(cuts[k + 1])
-            hit, found = np.zeros(b - a, bool), set()
-            if (mine := items_of[i + k]).is_valid:
+            hit, found, mine = np.zeros(b - a, bool), set(), []
+            if shared and k in met:
+                mine = shared.value.items(met[k])
+            elif not shared and (own := batch.column("_items")[i + k]).is_valid:
+                mine = [(x["item_id"], spans_of(_words(x["item_text"]), window)) for x in own.as_py()]
+            if mine:
                 words = [raw[s:e] for s, e in zip(starts[a:b].tolist(), stops[a:b].tolist(), strict=True)]
-                hit, found = extend(words, hashes[a:b], [(x["item_id"], _words(x["item_text"])) for x in mine.as_py()], window)
+                hit, found = extended(words, hashes[a:b], mine)
             yield i + k, b - a, hit, found
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = GRAM) -> DataFrame:
     """A row per document with its hits; hit_spans are runs of hit words."""
+    fps, lengths, shared = _benchmark(items, window, gram)
 
     def run(batches):
         for batch in batches:
             ids, out = batch.column("doc_id").to_pylist(), []
-            for i, n, hit, found in _hits(batch, window):
+            for i, n, hit, found in _hits(batch, window, lengths, shared):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist()
                 spans = [{"start": s, "stop": e} for s, e in zip(edge[::2], edge[1::2], strict=True)]
                 listed = ",".join(sorted(found))
@@ -225,24 +285,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
                 yield _rows(out)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return met_items(own, items, window, gram).mapInArrow(run, _OUT)
+    return (own if shared else met_items(own, fps, items, lengths, window, gram)).mapInArrow(run, _OUT)
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = GRAM) -> DataFrame:
     """The rows of ``docs``, with all their columns, that no item's window hits."""
+    fps, lengths, shared = _benchmark(items, window, gram)
 
     def run(batches):
         for batch in batches:
             good = np.ones(batch.num_rows, bool)
-            some = np.flatnonzero(batch.column("_items").is_valid().to_numpy(zero_copy_only=False))
-            if len(some):
-                part = batch.select(["text", "_items"]).take(pa.array(some))
-                for i, _, hit, _ in _hits(part, window):
-                    good[some[i]] = not hit.any()
+            for i, _, hit, _ in _hits(batch, window, lengths, shared):
+                good[i] = not hit.any()
             yield batch.select(["text", "_row"]).filter(pa.array(good))
 
-    met = met_items(packed(docs), items, window, gram).select("text", "_row", "_items")
-    return unpacked(met.mapInArrow(run, met.drop("_items").schema), docs)
+    own = packed(docs)
+    met = (own if shared else met_items(own, fps, items, lengths, window, gram)).drop("doc_id")
+    return unpacked(met.mapInArrow(run, met.select("text", "_row").schema), docs)
 
 
 def _words(text: str) -> list[bytes]:

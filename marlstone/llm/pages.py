@@ -1,7 +1,8 @@
 """Main text of HTML pages by equivalence-class template deduction.
 
 Pages of one host are made from templates. A page is a sequence of tokens, tags
-and text blocks, each told apart by its path. Tokens of a host that occur equally
+and text blocks, each told apart by its path; boxes of one kind in one element
+(such as a page's divs) are told apart by their order too. Tokens of a host that occur equally
 often in every page have the same occurrence vector; they are grouped by a
 commutative hash of it, so the vectors are added up before and after the shuffle
 and no task ever holds a host's pages. A class is large enough when it has
@@ -10,7 +11,10 @@ root and other valid classes nest between its tokens. A class counts on a page
 only where its tokens stand in the class's order. What no template token covers
 are the slots. Marks only choose among them: the text of slots in the article is
 kept; a page without an article keeps the slots outside of menus, headers,
-footers, sidebars, notices, adverts, forms and comments.
+footers, sidebars, notices, adverts, forms and comments. Of these the deduction
+keeps the boxes that are the host's main ones: on all its pages together the
+varying text outside of links that stands in a box is added up, and boxes with
+less than MAIN_SHARE of the most go, but for headings that lead to kept text.
 
 Constant text is content where deduction shows it: in an article, text of a
 class on at most half of the host's pages counts as a slot if its element holds
@@ -40,6 +44,9 @@ from marlstone.llm.common import cut, drop_cut, rows_of
 #: Least tokens of a class and least pages that it is on, however many the host
 #: has; and the share of them below which its text may be a copied passage.
 MIN_TOKENS, MIN_PAGES, MIN_SHARE = 3, 3, 0.05
+#: Share of the largest box's varying text that a main box holds; boxes of one
+#: kind in one element that are told apart.
+MAIN_SHARE, BOXES = 0.25, 8
 
 # HTML element names.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -55,6 +62,10 @@ _CLOSES_P = frozenset(
 )
 _CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "p": ()}
+_BOX = frozenset("div section center table tbody td ul ol dl".split())
+#: Blocks whose text counts for the element around them.
+_LEAF = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li dt dd blockquote pre figcaption figure caption tr td th address details summary".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
@@ -74,12 +85,50 @@ _RAW_END = {name: re.compile(rf"(?i)</{name}(?=[\s/>])[^>]*(?:>|\Z)") for name i
 
 
 class Node:
-    """An open element and what its text counts as."""
+    """An open element, what its text counts as, and the box that it stands in."""
 
-    __slots__ = ("apart", "article", "name", "path")
+    __slots__ = ("apart", "article", "box", "heading", "kinds", "link", "name", "path")
 
-    def __init__(self, name: str, path: int, apart: bool, article: bool):
-        self.name, self.path, self.apart, self.article = name, path, apart, article
+    def __init__(self, name: str, path: int, apart: bool, article: bool, around: Node | None = None):
+        self.name, self.path, self.apart, self.article, self.kinds = name, path, apart, article, None
+        inside = name in _INLINE or name in _LEAF
+        self.box = (around.box if name in _INLINE else around.path) if around and inside else path
+        self.link = bool(around) and (around.link or name == "a")
+        self.heading = name in _HEADINGS or bool(around) and around.heading and name in _INLINE
+
+    def order(self, kind: str) -> int:
+        """How many children of a kind came before."""
+        if self.kinds is None:
+            self.kinds = {}
+        n = self.kinds.get(kind, 0)
+        self.kinds[kind] = n + 1
+        return min(n, BOXES)
+
+
+class _Open:
+    """The open elements, with the places of each name and of blocks among them,
+    so that no tag searches them: parsing takes time linear in the page."""
+
+    def __init__(self):
+        self.nodes = [Node("", 0, False, False)]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.name, []).append(len(self.nodes))
+        if node.name not in _INLINE:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def innermost(self, names) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def cut(self, k: int) -> None:
+        for node in self.nodes[k:]:
+            self.at[node.name].pop()
+        while self.blocks[-1] >= k:
+            self.blocks.pop()
+        del self.nodes[k:]
 
 
 def _describe(raw: str, name: str, inside: bool) -> tuple[str, bool, bool]:
@@ -112,15 +161,17 @@ class Page:
     """Tokens of a page in order.
 
     ``tokens``: hash of each token; ``texts``: (index of its token, text, block
-    number, stands apart, in the article); ``elements``: path of the element
-    that each text token stands in.
+    number, stands apart, in the article); ``places``: (box, in a link, in a
+    heading) of each text; ``elements``: path of the element that each text token
+    stands in, and its box and characters outside of links.
     """
 
     def __init__(self, source: str):
         self.tokens: list[int] = []
         self.texts: list[tuple[int, str, int, bool, bool]] = []
-        self.elements: dict[int, int] = {}
-        stack = [Node("", 0, False, False)]
+        self.places: list[tuple[int, bool, bool]] = []
+        self.elements: dict[int, tuple[int, int, int]] = {}
+        stack = _Open()
         block, raw_until, at = 0, None, 0
         while at < len(source):
             # Inside a raw element all is its text up to its end tag.
@@ -132,27 +183,24 @@ class Page:
             if tag is None:
                 if token[0] == "<" and len(token) > 1:
                     continue
-                top = stack[-1]
+                top = stack.nodes[-1]
                 if token.isspace():
                     if self.texts and self.texts[-1][2] == block:
-                        self.texts.append((len(self.tokens), token, block, top.apart, top.article))
+                        self._add(token, block, top)
                     continue
-                self.texts.append((len(self.tokens), token, block, top.apart, top.article))
+                self._add(token, block, top)
                 self.tokens.append(_hash("t", top.path, token.strip()))
-                self.elements[self.tokens[-1]] = top.path
+                self.elements[self.tokens[-1]] = (top.path, top.box, 0 if top.link or top.apart else len(token.strip()))
                 continue
             name = tag[2].lower()
             if tag[1]:
                 if name not in _INLINE:
                     block += 1
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        # An end tag doesn't close what an inline one would cross.
-                        if name in _INLINE and any(n.name not in _INLINE for n in stack[k + 1 :]):
-                            break
-                        self.tokens.append(_hash("e", stack[k].path, name))
-                        del stack[k:]
-                        break
+                k = stack.innermost((name,))
+                # An end tag doesn't close what an inline one would cross.
+                if k and not (name in _INLINE and stack.blocks[-1] > k):
+                    self.tokens.append(_hash("e", stack.nodes[k].path, name))
+                    stack.cut(k)
                 continue
             if name not in _INLINE:
                 block += 1
@@ -160,30 +208,31 @@ class Page:
                 self._close(stack, ("p",), ("article", "section", "div", "td", "th", "body", "li", "main", "button", "table"))
             if name in _CLOSES_SAME and name != "p":
                 self._close(stack, _CLOSES_SAME[name], _SCOPE[name])
-            top = stack[-1]
-            mark, apart, article = _describe(token, name, name in _PARTS and any(n.name == "article" for n in stack))
+            top = stack.nodes[-1]
+            mark, apart, article = _describe(token, name, name in _PARTS and bool(stack.at.get("article")))
             if name == "header" and not top.article:
                 apart = True
-            path = _hash("p", top.path, name, mark)
+            path = _hash("p", top.path, name, mark, top.order(name + mark)) if name in _BOX else _hash("p", top.path, name, mark)
             self.tokens.append(path)
             if name == "br":
                 self.texts.append((len(self.tokens) - 1, " ", block, top.apart, top.article))
+                self.places.append((top.box, top.link, top.heading))
             if name in _VOID or token.endswith("/>"):
                 continue
-            stack.append(Node(name, path, top.apart or apart, top.article or article))
+            stack.push(Node(name, path, top.apart or apart, top.article or article, top))
             if name in _RAW and name != "noscript":
                 raw_until = name
 
-    def _close(self, stack: list[Node], names: tuple[str, ...], scope: tuple[str, ...]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                if all(n.name in _INLINE or n.name in names for n in stack[k + 1 :]):
-                    self.tokens.append(_hash("e", stack[k].path, stack[k].name))
-                    # Inline elements that were left open go on in the next block.
-                    del stack[k:]
-                return
-            if stack[k].name in scope:
-                return
+    def _add(self, text: str, block: int, top: Node) -> None:
+        self.texts.append((len(self.tokens), text, block, top.apart, top.article))
+        self.places.append((top.box, top.link, top.heading))
+
+    def _close(self, stack: _Open, names: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        k = stack.innermost(names)
+        # Inline elements that were left open go on in the next block.
+        if k > stack.innermost(scope) and stack.blocks[-1] == k:
+            self.tokens.append(_hash("e", stack.nodes[k].path, stack.nodes[k].name))
+            stack.cut(k)
 
 
 def host_of(url):
@@ -197,7 +246,8 @@ def _signed(t: int | None) -> int | None:
 
 def token_vectors(pages: DataFrame) -> DataFrame:
     """host, token, pages it is on, signature of its occurrence vector, mean
-    place, and the element of a text; added up over a batch, then by key."""
+    place, and the element, box and characters of a text; added up over a batch,
+    then by key."""
 
     def run(batches):
         for batch in batches:
@@ -215,24 +265,29 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                         # Vectors are compared by sums of hashes of (page, count).
                         sign = xxhash.xxh3_64_intdigest(b"%d:%d" % (key, n)) >> 16
                         if (row := total.get((host, t))) is None:
-                            total[host, t] = [1, sign, i, _signed(page.elements.get(t))]
+                            element, box, chars = page.elements.get(t, (None, None, 0))
+                            total[host, t] = [1, sign, i, _signed(element), _signed(box), chars]
                         else:
                             row[0] += 1
                             row[1] += sign
                             row[2] += i
                 if total:
                     rows = [(h, _signed(t), *v) for (h, t), v in total.items()]
-                    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], ["host", "token", "pages", "sign", "place", "element"])
+                    types = (pa.string(), *[pa.int64()] * 7)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], ["host", "token", "pages", "sign", "place", "element", "box", "chars"])
 
-    found = pages.mapInArrow(run, "host string, token long, pages long, sign long, place long, element long")
-    return found.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum(F.col("sign").cast("decimal(38,0)")).alias("sign"), F.sum("place").alias("place"), F.max("element").alias("element"))
+    found = pages.mapInArrow(run, "host string, token long, pages long, sign long, place long, element long, box long, chars long")
+    return found.groupBy("host", "token").agg(
+        F.sum("pages").alias("pages"), F.sum(F.col("sign").cast("decimal(38,0)")).alias("sign"), F.sum("place").alias("place"),
+        *[F.max(c).alias(c) for c in ("element", "box", "chars")],
+    )
 
 
 def templates(vectors: DataFrame, sizes: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """The classes of hosts, a row each: ``tokens`` in order of their mean place,
     what ``marks`` each (1: content in an article, 2: content anywhere), and the
-    ``key``, a token that a page with the class has. By ``pages``, ``size`` and
+    ``key``, a token that a page with the class has; main boxes are rows of one
+    token marked 3. By ``pages``, ``size`` and
     ``tokens`` the class on most pages and of most tokens is first. ``sizes`` has
     each host's number of pages; ``vectors`` is read again for each join.
 
@@ -247,10 +302,20 @@ def templates(vectors: DataFrame, sizes: DataFrame, min_tokens: int = MIN_TOKENS
     member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", mark.cast("byte").alias("mark"))
     classes = often.groupBy("host", "sign", "pages").agg(F.sort_array(F.collect_list(member)).alias("members")).filter(F.size("members") >= min_tokens)
     tokens = F.transform("members", lambda m: m["token"])
-    return classes.select(
+    classes = classes.select(
         "host", F.array_min(tokens).alias("key"), (-F.col("pages")).alias("pages"), (-F.size("members")).alias("size"), tokens.alias("tokens"),
         F.transform("members", lambda m: m["mark"]).alias("marks"),
     )
+    return classes.unionByName(main_boxes(vectors, sizes, min_pages))
+
+
+def main_boxes(vectors: DataFrame, sizes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """Boxes of hosts with pages enough that hold much of their varying text."""
+    varying = vectors.filter((F.col("pages") < min_pages) & F.col("box").isNotNull() & (F.col("chars") > 0))
+    held = varying.groupBy("host", "box").agg(F.sum(F.col("chars") * F.col("pages")).alias("held"))
+    most = held.groupBy("host").agg(F.max("held").alias("most")).join(sizes.filter(F.col("host_pages") >= min_pages), "host")
+    main = held.join(most, "host").filter(F.col("held") >= MAIN_SHARE * F.col("most"))
+    return main.select("host", F.col("box").alias("key"), F.lit(0).cast("long").alias("pages"), F.lit(0).alias("size"), F.array("box").alias("tokens"), F.array(F.lit(3).cast("byte")).alias("marks"))
 
 
 def template_tokens(tokens: list[int], classes: list[list[int]]) -> np.ndarray:
@@ -290,11 +355,16 @@ def main_text(source: str | None, classes: list) -> str:
 
 def _read(page: Page, classes: list) -> tuple[str, int]:
     """Text of a page and number of valid classes on it; ``classes`` are pairs of
-    tokens and marks."""
+    tokens and marks, main boxes among them."""
+    boxes = {int(tokens[0]) & 0xFFFFFFFFFFFFFFFF for tokens, marks in classes if marks[0] == 3}
+    classes = [c for c in classes if c[1][0] != 3]
     owner = covering(page.tokens, [tokens for tokens, _ in classes])
     valid = len(set(owner.tolist()) - {-1})
     in_article = any(article and not apart and text.strip() for _, text, _, apart, article in page.texts)
-    kept = [(i, t, b) for i, t, b, apart, article in page.texts if not apart and (article or not in_article)]
+    own = [not apart and (article or not in_article) for _, _, _, apart, article in page.texts]
+    if not in_article:
+        own = _in_main(page, own, boxes)
+    kept = [(i, t, b) for (i, t, b, _, _), good in zip(page.texts, own, strict=True) if good]
     content = {int(t) & 0xFFFFFFFFFFFFFFFF for tokens, marks in classes for t, m in zip(tokens, marks, strict=True) if m == 2 or m and in_article}
     # The class that takes each text, -1 for slots.
     taken = [-1 if t.isspace() or page.tokens[i] in content else int(owner[i]) for i, t, _ in kept]
@@ -306,6 +376,21 @@ def _read(page: Page, classes: list) -> tuple[str, int]:
     return "", valid
 
 
+def _in_main(page: Page, own: list[bool], boxes: set[int]) -> list[bool]:
+    """Of a page's own texts those in main boxes, and headings that lead to them;
+    all where none stands in one."""
+    main = [good and box in boxes for good, (box, _, _) in zip(own, page.places, strict=True)]
+    if not any(m and not t[1].isspace() for m, t in zip(main, page.texts, strict=True)):
+        return own
+    leads = False
+    for i in range(len(main) - 1, -1, -1):
+        _, _, heading = page.places[i]
+        if not page.texts[i][1].isspace() and not (own[i] and heading):
+            leads = main[i]
+        main[i] = main[i] or own[i] and heading and leads
+    return main
+
+
 def _join(parts: list[tuple[int, str]]) -> str:
     out: list[str] = []
     now, held = None, []
@@ -328,15 +413,19 @@ class Templates:
     """Classes of all hosts in memory, found by the tokens of a page."""
 
     def __init__(self, rows: list):
-        self.hosts: dict[str, dict[int, tuple]] = {}
+        self.hosts: dict[str, dict[tuple, tuple]] = {}
         for r in sorted(rows, key=lambda r: (r.host, r.pages, r.size, r.tokens)):
             own = self.hosts.setdefault(r.host, {})
-            own[r.key & 0xFFFFFFFFFFFFFFFF] = (len(own), np.array(r.tokens, np.int64), np.array(r.marks, np.int8))
+            own[r.key & 0xFFFFFFFFFFFFFFFF, r.marks[0] == 3] = (len(own), np.array(r.tokens, np.int64), np.array(r.marks, np.int8))
 
     def on(self, host: str, tokens: list[int]) -> list[tuple]:
         """Classes whose key is on the page, in order."""
         own = self.hosts.get(host)
-        return [c[1:] for c in sorted((own[t] for t in own.keys() & set(tokens)), key=lambda c: c[0])] if own else []
+        if not own:
+            return []
+        seen = set(tokens)
+        found = (own[k] for k in own if k[0] in seen) if len(own) < len(seen) else (own[t, b] for t in seen for b in (False, True) if (t, b) in own)
+        return [c[1:] for c in sorted(found, key=lambda c: c[0])]
 
 
 def keyed(rows: DataFrame, classes: DataFrame) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,9 +75,35 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+_made = threading.local()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in getattr(_made, "open", ()):
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is written to the shared folder inside is deleted at the end, but for
+    the tables that the given function is called with."""
+    paths, kept = [], set()
+    _made.open = [*getattr(_made, "open", ()), paths]
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._scratch_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _made.open = _made.open[:-1]
+    for path in paths:
+        if path not in kept:
+            delete(spark, path)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import cut, drop_cut, packed, partitions, rows_of, ship, unpacked
+from marlstone.session import temporary
 
 #: Bits of a fingerprint; bits of the shortest and longest prefixes, and the
 #: fingerprints of a prefix beyond which it takes STEP bits more. Beyond DEEPEST a
@@ -252,9 +253,10 @@ def _components(own: DataFrame, radius: int, value: str) -> DataFrame:
     """fp and the least ``value`` of its component; ``own`` has a row per distinct
     fp. Fingerprints without a link keep their own; the others' roots meet them
     salted, as one component may hold a third of all fingerprints."""
-    stars = connected(links(own.select("fp"), radius))
-    ends = stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
-    linked = cut(own.join(ends, "fp", "left").select("fp", value, "root"), "components")
+    with temporary(own.sparkSession) as keep:
+        stars = connected(links(own.select("fp"), radius))
+        ends = stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
+        linked = keep(cut(own.join(ends, "fp", "left").select("fp", value, "root"), "components"))
     some = linked.filter("root IS NOT NULL")
     least = some.groupBy("root").agg(F.min(value).alias(value)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salted = some.select("fp", "root", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int").alias("_salt"))

@@ -106,12 +106,26 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
             delete(spark, path)
 
 
+#: Setting by which Spark deletes the shuffle files of a finished query.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there,
-    and the copy survives the loss of any executor."""
-    ship(df.sparkSession)
-    path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    and the copy survives the loss of any executor. The shuffle files of the write
+    go with it, as nothing reads them again."""
+    spark = df.sparkSession
+    ship(spark)
+    path = scratch(spark, label)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

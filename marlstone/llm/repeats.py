@@ -215,13 +215,14 @@ def met_grams(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
 
     def run(batches):
         for _, r in _reduced(batches, length, gram):
-            cols = [r.grams[r.own].view(np.int64), r.content[r.own].view(np.int64), r.often, r.size[r.own]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["gram", "content", "often", "size"])
-
-    found = docs.mapInArrow(run, "gram long, content long, often int, size int")
-    counts = found.groupBy(F.col("gram").alias("_gram")).agg(F.sum("often").alias("n"), F.min("content").alias("a"), F.max("content").alias("b"), F.sum("size").alias("strings"), F.sum(F.col("size") + length - 1).alias("bytes"))
-    # Runs of one content make one piece of a block, however many they are.
-    split = (F.col("a") != F.col("b")) & (F.col("bytes") > SPLIT)
+            cols = [r.grams[r.own].view(np.int64), (r.content[r.own] >> np.uint64(49)).astype(np.int16), r.often, r.size[r.own]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int16(), pa.int32(), pa.int32()), strict=True)], ["gram", "content", "often", "size"])
+
+    found = docs.mapInArrow(run, "gram long, content short, often int, size int")
+    counts = found.groupBy(F.col("gram").alias("_gram")).agg(F.sum("often").alias("n"), F.min("content").alias("a"), F.max("content").alias("b"), F.sum("size").alias("strings"))
+    # Runs of one content make one piece of a block, however many they are; 15 bits
+    # tell contents apart well enough to plan by.
+    split = (F.col("a") != F.col("b")) & (F.col("strings") + F.col("n") * (length - 1) > SPLIT)
     parts = F.when(split, F.ceil(F.col("strings") * length / SPLIT)).otherwise(1)
     return counts.filter("n > 1").select("_gram", parts.cast("int").alias("_parts"))
 

@@ -7,16 +7,18 @@ equal is found on their bytes:
 
 1. Each document gives its runs as (gram hash, place). Runs of one batch whose
    bytes are equal, compared there, are reduced to the first before the shuffle,
-   so a passage in a third of all documents sends a row a batch.
+   so a passage in a third of all documents sends a row a batch. They are written
+   once, as places without texts.
 2. Grams are counted, with partial sums before the shuffle, and joined back by
    a join that adaptive execution splits: runs whose gram occurs once are done.
 3. The bytes of the others are fetched and dealt by gram hash; a gram with more
    than SPLIT bytes of different runs is split by the hashes of its strings. Each
    block of shards gets a suffix array by induced sorting and its permuted common
    prefixes; strings that stand together are equal, and all but the first are
-   covered. Pieces that are equal as a whole are one text in the array. A shard
-   that is larger than a block goes through in rounds, which carry over the
-   pieces that still hold the first of some string.
+   covered. Pieces that are equal as a whole are one text in the array, and need
+   none where all pieces of a gram are. A shard that is larger than a block goes
+   through in rounds, which carry over the pieces that still hold the first of some
+   string.
 4. Each document drops the union of its covered strings.
 
 Defined results: null text is empty; a text shorter than ``length`` bytes loses
@@ -32,10 +34,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import BLOCK_BYTES, cut, mix64, packed, partitions, powers, prefix_hash, rows_of, ship, span_hash, text_buffer, unpacked
+from marlstone.llm.common import BLOCK_BYTES, cut, drop_cut, mix64, packed, partitions, powers, prefix_hash, rows_of, ship, span_hash, text_buffer, unpacked
 from marlstone.llm.suffix import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -47,6 +50,7 @@ SHARD_BYTES, ROUND_BYTES = 1 << 20, 2 << 20
 #: Bytes of a gram's runs beyond which it is split.
 SPLIT = 4 << 20
 _NO = np.uint64(0xFFFFFFFFFFFFFFFF)
+_STEP = np.uint64(0xD1342543DE82EF95)
 
 
 def _gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
@@ -135,8 +139,8 @@ def _ids(col) -> tuple[np.ndarray, np.ndarray]:
     return col.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), col.is_valid().to_numpy(zero_copy_only=False)
 
 
-_RUN = "kind int, gram long, doc_id long, tie long, start int, size int"
-_RUN_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+_RUN = "kind int, gram long, content short, often int, doc_id long, tie long, start int, size int"
+_RUN_TYPES = [pa.int32(), pa.int64(), pa.int16(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 _RUN_NAMES = [x.split()[0] for x in _RUN.split(", ")]
 
 
@@ -165,61 +169,57 @@ class _Reduced:
         rank = _document_order(ids, valid, self.tie)
         _, self.one = np.unique(rank, return_index=True)  # repeated rows count once
         data, offsets = text_buffer(batch.column("text").take(pa.array(self.one)))
+        # Runs ascend by place: rows of ``one`` ascend by rank.
         self.grams, self.content, self.row, self.start, self.size = runs(data, offsets, length, gram)
-        order = np.lexsort((self.start, self.row, self.content, self.grams))  # rows of ``one`` ascend by rank
-        g, c = self.grams[order], self.content[order]
-        first = np.ones(len(order), bool)
-        first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-        lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
-        some = np.flatnonzero(~first)
+        n = len(self.grams)
+        key = self.grams * _STEP + self.content
+        order = np.argsort(key)
+        new = np.ones(n, bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        lead = np.empty(n, np.int64)
+        lead[order] = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1] if n else order
+        some = np.flatnonzero(lead != np.arange(n))
         at = offsets[self.row] + self.start
-        same = self.size[order[some]] == self.size[lead[some]]
+        same = self.size[some] == self.size[lead[some]]
         raw = data.tobytes() if len(some) else b""
-        same &= _equal_bytes(raw, at[order[some]], at[lead[some]], self.size[order[some]] + length - 1)
-        first[some[~same]] = True
-        self.own, self.other = order[first], order[~first]
-        self.often = np.bincount(lead, minlength=len(order))[self.own] if len(order) else self.own
-
-
-def _reduced(batches, length: int, gram: int):
-    for batch in (part for whole in batches for part in rows_of(whole, REDUCE_BYTES)):
-        yield batch, _Reduced(batch, length, gram)
+        same &= _equal_bytes(raw, at[some], at[lead[some]], self.size[some] + length - 1)
+        lead[some[~same]] = some[~same]
+        own = lead == np.arange(n)
+        self.own, self.other = np.flatnonzero(own), np.flatnonzero(~own)
+        self.often = np.bincount(lead, minlength=n)[self.own]
 
 
 def document_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """kind 0: a run, the batch's first of its content; kind 1: covered bytes."""
+    """kind 0: a run, the batch's first of its content, with some bits of that and
+    how often it is there; kind 1: covered bytes."""
 
     def run(batches):
-        for batch, r in _reduced(batches, length, gram):
-            yield _runs_batch(batch, r.one[r.row[r.own]], 0, r.grams[r.own], r.start[r.own], r.size[r.own])
+        for batch in (part for whole in batches for part in rows_of(whole, REDUCE_BYTES)):
+            r = _Reduced(batch, length, gram)
+            yield _runs_batch(batch, r.one[r.row[r.own]], 0, r.grams[r.own], r.content[r.own] >> np.uint64(49), r.often, r.start[r.own], r.size[r.own])
             if len(r.other):
                 # Covered bytes need no meeting: they go where their place says.
                 base = r.row[r.other] * (1 << 32)
                 a, z = merged(base + r.start[r.other], base + r.start[r.other] + r.size[r.other] + length - 1)
                 at, a, z = a >> 32, a & 0xFFFFFFFF, z & 0xFFFFFFFF
                 spread = mix64(a.astype(np.uint64) + r.tie.astype(np.int64).view(np.uint64)[r.one[at]])
-                yield _runs_batch(batch, r.one[at], 1, spread, a, z - a)
+                none = np.zeros(len(a), np.int64)
+                yield _runs_batch(batch, r.one[at], 1, spread, none, none, a, z - a)
 
     return docs.mapInArrow(run, _RUN)
 
 
-def _runs_batch(batch, rows, kind, gram, start, size) -> pa.RecordBatch:
+def _runs_batch(batch, rows, kind, gram, content, often, start, size) -> pa.RecordBatch:
     take = pa.array(rows, pa.int64())
-    cols = [pa.array(np.full(len(rows), kind, np.int32)), pa.array(gram.view(np.int64)), batch.column("doc_id").take(take), batch.column("tie").take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))]
+    cols = [np.full(len(rows), kind, np.int32), gram.view(np.int64), content.astype(np.int16), often.astype(np.int32)]
+    cols = [*map(pa.array, cols), batch.column("doc_id").take(take), batch.column("tie").take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))]
     return pa.RecordBatch.from_arrays(cols, _RUN_NAMES)
 
 
-def met_grams(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """_gram and _parts of the grams that are the least of several runs. Whether a
-    gram is among them doesn't depend on how the rows come in batches."""
-
-    def run(batches):
-        for _, r in _reduced(batches, length, gram):
-            cols = [r.grams[r.own].view(np.int64), (r.content[r.own] >> np.uint64(49)).astype(np.int16), r.often, r.size[r.own]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int16(), pa.int32(), pa.int32()), strict=True)], ["gram", "content", "often", "size"])
-
-    found = docs.mapInArrow(run, "gram long, content short, often int, size int")
-    counts = found.groupBy(F.col("gram").alias("_gram")).agg(F.sum("often").alias("n"), F.min("content").alias("a"), F.max("content").alias("b"), F.sum("size").alias("strings"))
+def met_grams(found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """_gram and _parts of the grams that are the least of several runs."""
+    sums = [F.sum("often").alias("n"), F.min("content").alias("a"), F.max("content").alias("b"), F.sum("size").alias("strings")]
+    counts = found.filter("kind = 0").groupBy(F.col("gram").alias("_gram")).agg(*sums)
     # Runs of one content make one piece of a block, however many they are; 15 bits
     # tell contents apart well enough to plan by.
     split = (F.col("a") != F.col("b")) & (F.col("strings") + F.col("n") * (length - 1) > SPLIT)
@@ -227,20 +227,18 @@ def met_grams(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
     return counts.filter("n > 1").select("_gram", parts.cast("int").alias("_parts"))
 
 
-def met_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def met_runs(found: DataFrame, length: int = LENGTH) -> DataFrame:
     """kind 1: covered bytes; kind 0: runs that other runs share a gram with, and
     the number of parts to split their gram into."""
-    rows = document_runs(docs, length, gram)
-    met = rows.join(met_grams(docs, length, gram), F.col("gram") == F.col("_gram"), "left").filter("kind = 1 OR _parts IS NOT NULL")
-    bytes_ = F.when(F.col("kind") == 1, F.col("size"))
-    return met.select("kind", "gram", "doc_id", "tie", "start", F.coalesce(bytes_, "size").alias("size"), F.col("_parts").alias("parts"))
+    rows = found.drop("content", "often")
+    met = rows.join(met_grams(found, length), F.col("gram") == F.col("_gram"), "left").filter("kind = 1 OR _parts IS NOT NULL")
+    return met.select("kind", "gram", "doc_id", "tie", "start", "size", F.col("_parts").alias("parts"))
 
 
 _CONTEXT = "shard long, doc_id long, tie long, start int, size int, bytes binary"
-_CONTEXT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 _CONTEXT_NAMES = [x.split()[0] for x in _CONTEXT.split(", ")]
-#: Bytes of runs that a result batch holds at most.
-_FLUSH_BYTES = 4 << 20
+#: Runs of a document that a result batch holds at most.
+_FLUSH_RUNS = 1 << 13
 
 
 def run_bytes(wanted: DataFrame, docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -248,55 +246,65 @@ def run_bytes(wanted: DataFrame, docs: DataFrame, length: int = LENGTH) -> DataF
 
     def run(batches):
         for batch in batches:
-            out, held = [], 0
-            texts = batch.column("text")
-            for k, (doc, tie, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "_runs")), strict=True)):
-                text = texts[k].as_py().encode()
-                for p in places:
-                    piece = text[p["start"] : p["start"] + p["size"] + length - 1]
-                    if p["parts"] == 1:
-                        out.append((p["gram"], doc, tie, p["start"], p["size"], piece))
-                        held += len(piece)
-                        continue
-                    where = _gram_hashes(np.frombuffer(piece, np.uint8), length) % np.uint64(p["parts"])
-                    edge = np.concatenate([[0], np.flatnonzero(where[1:] != where[:-1]) + 1, [len(where)]]).tolist()
-                    for a, z in zip(edge[:-1], edge[1:], strict=True):
-                        shard = int(mix64(np.array([where[a] + np.uint64(1)]) + np.uint64(p["gram"] & 0xFFFFFFFFFFFFFFFF)).view(np.int64)[0])
-                        out.append((shard, doc, tie, p["start"] + a, z - a, piece[a : z + length - 1]))
-                        held += z - a + length
-                    if held >= _FLUSH_BYTES:
-                        yield _context_batch(out)
-                        out, held = [], 0
-                if held >= _FLUSH_BYTES:
-                    yield _context_batch(out)
-                    out, held = [], 0
-            if out:
-                yield _context_batch(out)
+            for k in range(batch.num_rows):
+                own = batch.column("_runs")[k].values
+                raw = batch.column("text")[k].as_py().encode()
+                cols = [own.field(c).to_numpy() for c in ("gram", "start", "size", "parts")]
+                for i in range(0, len(own), _FLUSH_RUNS):
+                    yield _pieces(raw, *(c[i : i + _FLUSH_RUNS] for c in cols), batch.slice(k, 1), length)
 
     by_doc = wanted.groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_set(F.struct("gram", "start", "size", "parts")).alias("_runs"))
     met = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")))
     return met.select("doc_id", "tie", "text", "_runs").mapInArrow(run, _CONTEXT)
 
 
-def _context_batch(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _CONTEXT_TYPES, strict=True)], _CONTEXT_NAMES)
+def _pieces(raw: bytes, gram: np.ndarray, start: np.ndarray, size: np.ndarray, parts: np.ndarray, row: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """Pieces of a document: whole runs, or parts of those whose gram is split."""
+    if (parts > 1).any():
+        found = [(gram[parts == 1], start[parts == 1], size[parts == 1])]
+        for g, s, n, p in zip(*(c[parts > 1].tolist() for c in (gram, start, size, parts)), strict=True):
+            where = _gram_hashes(np.frombuffer(raw[s : s + n + length - 1], np.uint8), length) % np.uint64(p)
+            edge = np.concatenate([[0], np.flatnonzero(where[1:] != where[:-1]) + 1, [len(where)]])
+            shard = mix64(where[edge[:-1]] + np.uint64(1) + np.uint64(g & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+            found.append((shard, s + edge[:-1], np.diff(edge)))
+        gram, start, size = (np.concatenate(c) for c in zip(*found, strict=True))
+    bytes_ = [raw[a:z] for a, z in zip(start.tolist(), (start + size + length - 1).tolist(), strict=True)]
+    take = pa.array(np.zeros(len(bytes_), np.int64))
+    cols = [pa.array(gram.astype(np.int64)), row.column("doc_id").take(take), row.column("tie").take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(bytes_, pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, _CONTEXT_NAMES)
 
 
 def repeated_strings(pieces, rank: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece, first, stop) of runs of strings that another piece or place holds
     earlier, where ``rank`` orders the pieces' documents."""
-    return _repeated(pieces, rank, start, length)[:3]
+    return _repeated(pieces, rank, start, np.zeros(len(rank), np.int64), length)[:3]
 
 
-def _repeated(pieces, rank: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """``repeated_strings`` and the first of each distinct piece."""
+def _repeated(pieces, rank: np.ndarray, start: np.ndarray, shard: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """``repeated_strings`` and the first of each distinct piece. Pieces of different
+    shards share no string; one that is alone in its shard needs no sorting."""
     coded = (pieces if isinstance(pieces, pa.Array) else pa.array(pieces, pa.binary())).dictionary_encode()
     of = coded.indices.to_numpy()
     members = np.lexsort((start, rank, of))
     head = np.ones(len(members), bool)
     head[1:] = of[members[1:]] != of[members[:-1]]
     lead = members[head]  # the first of each distinct piece
-    sizes, whole = _text(coded.dictionary)
+    # The other places of a piece have each of its strings again.
+    strings = np.maximum(0, pc.binary_length(coded.dictionary).to_numpy() - length + 1)
+    of_lead = lead[of]
+    more = np.flatnonzero(((rank != rank[of_lead]) | (start != start[of_lead])) & (strings[of] > 0))
+    _, of_shard, count = np.unique(shard[lead], return_inverse=True, return_counts=True)
+    several = np.flatnonzero((count[of_shard] > 1) | (len(count) == 1))
+    own, first, stop = _again(coded.dictionary.take(pa.array(several)), rank[lead[several]], start[lead[several]], length)
+    return np.concatenate([lead[several[own]], more]), np.concatenate([first, np.zeros(len(more), np.int64)]), np.concatenate([stop, strings[of[more]]]), lead
+
+
+def _again(pieces: pa.Array, rank: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``repeated_strings`` of distinct pieces."""
+    empty = np.zeros(0, np.int64)
+    if not len(pieces):
+        return empty, empty, empty
+    sizes, whole = _text(pieces)
     ends = np.cumsum(sizes)
     begin = ends - sizes
     sa = suffix_array(whole, 258)
@@ -305,34 +313,21 @@ def _repeated(pieces, rank: np.ndarray, start: np.ndarray, length: int) -> tuple
     full = np.append(inside + length < sizes[piece], False)
     sa = sa[full[sa]]  # what stands between equal strings is long enough itself
     if not len(sa):
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, lead
+        return empty, empty, empty
     # Symbols fit a byte but for the last of the alphabet, which UTF-8 has not.
     common = permuted_common_prefixes(whole.astype(np.uint8), sa, length)
-    group = np.cumsum(common[sa] < length)
-    place = start[lead][piece[sa]] + inside[sa]
-    doc = rank[lead][piece[sa]]
-    order = np.lexsort((place, doc, group))
-    g = group[order]
-    new = np.ones(len(g), bool)
-    new[1:] = g[1:] != g[:-1]
-    least = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    again = (doc[order] != doc[least]) | (place[order] != place[least])
-    at = np.sort(sa[order[again]])
+    new = common[sa] < length
+    new[0] = True
+    place = (rank[piece[sa]] << 32) + start[piece[sa]] + inside[sa]
+    least = np.minimum.reduceat(place, np.flatnonzero(new))[np.cumsum(new) - 1]
+    again = np.zeros(len(whole), bool)
+    again[sa[place != least]] = True
+    at = np.flatnonzero(again)
     edge = np.ones(len(at), bool)
     edge[1:] = (at[1:] != at[:-1] + 1) | (piece[at[1:]] != piece[at[:-1]])
     first = np.flatnonzero(edge)
     last = np.append(first[1:], len(at))[: len(first)] - 1
-    # The other places of a piece have each of its strings in the array again.
-    strings = np.bincount(piece[sa], minlength=len(sizes))
-    of_lead = lead[of]
-    more = np.flatnonzero(((rank != rank[of_lead]) | (start != start[of_lead])) & (strings[of] > 0))
-    return (
-        np.concatenate([lead[piece[at[first]]], more]),
-        np.concatenate([inside[at[first]], np.zeros(len(more), np.int64)]),
-        np.concatenate([inside[at[last]] + 1, strings[of[more]]]),
-        lead,
-    )
+    return piece[at[first]].astype(np.int64), inside[at[first]].astype(np.int64), inside[at[last]].astype(np.int64) + 1
 
 
 def _text(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +352,7 @@ def sorted_shards(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
         ids, valid = _ids(rows.column("doc_id"))
         tie = rows.column("tie").to_numpy()
         start = rows.column("start").to_numpy().astype(np.int64)
-        piece, a, z, lead = _repeated(rows.column("bytes"), _document_order(ids, valid, tie), start, length)
+        piece, a, z, lead = _repeated(rows.column("bytes"), _document_order(ids, valid, tie), start, rows.column("shard").to_numpy(), length)
         take = pa.array(piece, pa.int64())
         cols = [rows.column("doc_id").take(take), rows.column("tie").take(take), pa.array((start[piece] + a).astype(np.int32)), pa.array((z - a + length - 1).astype(np.int32))]
         left = np.zeros(rows.num_rows, bool)
@@ -401,7 +396,9 @@ def covered_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     written on the way holds places, never texts.
     """
     ship(docs.sparkSession)
-    met = cut(met_runs(docs, length, gram), "runs")
+    found = cut(document_runs(docs, length, gram), "runs")
+    met = cut(met_runs(found, length), "met")
+    drop_cut(found)
     sorted_ = sorted_shards(run_bytes(met.filter("kind = 0"), docs, length), length)
     covered = met.filter("kind = 1").select("doc_id", "tie", "start", "size").unionByName(sorted_)
     return covered.groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("start", "size")).alias("_covered"))

@@ -7,8 +7,6 @@ and less, have alphabets too large for that and are induced element by element.
 
 from __future__ import annotations
 
-from array import array
-
 import numpy as np
 
 
@@ -19,8 +17,7 @@ def s_types(s: np.ndarray) -> np.ndarray:
     out = np.ones(n, bool)
     if len(change):
         smaller = s[change] < s[change + 1]
-        at = np.searchsorted(change, np.arange(n - 1))
-        out[: n - 1] = np.where(at < len(change), smaller[np.minimum(at, len(change) - 1)], True)
+        out[: change[-1] + 1] = np.repeat(smaller, np.diff(change, prepend=-1))
     return out
 
 
@@ -31,7 +28,9 @@ _COMPARE = 1 << 18
 def _name(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
     """Names of the LMS substrings, which ``ordered`` sorts: neighbours of one
     length are compared symbol by symbol."""
-    rank = np.searchsorted(lms, ordered)
+    place = np.empty(len(s), np.int32)
+    place[lms] = np.arange(len(lms), dtype=np.int32)
+    rank = place[ordered]
     size = (np.append(lms[1:], len(s) - 1) + 1 - lms)[rank]
     new = np.ones(len(rank), np.int64)
     at = np.flatnonzero(size[1:] == size[:-1]) + 1
@@ -109,36 +108,27 @@ def _induce_bytes(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int)
     return sa
 
 
-def _ints(values: np.ndarray) -> array:
-    """Machine integers, a ninth of the memory of a list of them."""
-    out = array("i")
-    out.frombytes(values.astype(np.intc).tobytes())
-    return out
-
-
-def _induce_names(s: array, is_s: bytes, lms: array, sigma: int) -> array:
+def _induce_names(s: list[int], is_s: bytes, lms: list[int], ends: list[int]) -> list[int]:
     n = len(s)
-    count = _ints(np.concatenate([[0], np.cumsum(np.bincount(np.frombuffer(s, np.intc), minlength=sigma))]))
-    sa = array("i", [-1]) * n
-    tail = count[1:]
+    sa = [-1] * n
+    tail = ends[1:]
     for i in reversed(lms):
         c = s[i]
         tail[c] -= 1
         sa[tail[c]] = i
-    head = count[:-1]
-    for k in range(n):
-        j = sa[k] - 1
-        if j >= 0 and not is_s[j]:
-            c = s[j]
-            sa[head[c]] = j
+    head = ends[:-1]
+    for i in sa:  # what is written on the way lies ahead
+        if i > 0 and not is_s[i - 1]:
+            c = s[i - 1]
+            sa[head[c]] = i - 1
             head[c] += 1
-    tail = count[1:]
+    tail = ends[1:]
     for k in range(n - 1, -1, -1):
-        j = sa[k] - 1
-        if j >= 0 and is_s[j]:
-            c = s[j]
+        i = sa[k]
+        if i > 0 and is_s[i - 1]:
+            c = s[i - 1]
             tail[c] -= 1
-            sa[tail[c]] = j
+            sa[tail[c]] = i - 1
     sa[0] = n - 1
     return sa
 
@@ -150,7 +140,8 @@ BUCKETS = 512
 def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     if sigma <= BUCKETS:
         return _induce_bytes(s, is_s, lms, sigma)
-    return np.frombuffer(_induce_names(_ints(s), is_s.tobytes(), _ints(lms), sigma), np.intc)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=sigma))])
+    return np.array(_induce_names(s.tolist(), is_s.tobytes(), lms.tolist(), ends.tolist()), np.int32)
 
 
 def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:

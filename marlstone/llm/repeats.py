@@ -15,10 +15,10 @@ equal is found on their bytes:
    than SPLIT bytes of different runs is split by the hashes of its strings. Each
    block of shards gets a suffix array by induced sorting and its permuted common
    prefixes; strings that stand together are equal, and all but the first are
-   covered. Pieces that are equal as a whole are one text in the array, and need
-   none where all pieces of a gram are. A shard that is larger than a block goes
-   through in rounds, which carry over the pieces that still hold the first of some
-   string.
+   covered. Pieces that are equal as a whole are one text in the array; where all
+   pieces of a gram are, or each is a single string, there is nothing to sort. Of
+   a shard that is larger than a block equal pieces are reduced as they come, so
+   memory follows the different ones, which SPLIT bounds.
 4. Each document drops the union of its covered strings.
 
 Defined results: null text is empty; a text shorter than ``length`` bytes loses
@@ -44,9 +44,9 @@ from marlstone.llm.suffix import permuted_common_prefixes, suffix_array
 LENGTH, GRAM = 100, 32
 #: Bytes of text whose runs are reduced at a time.
 REDUCE_BYTES = 1 << 23
-#: Bytes of a block of shards that a suffix array is built over, and of the rounds
-#: that a larger shard goes through.
-SHARD_BYTES, ROUND_BYTES = 1 << 20, 2 << 20
+#: Bytes of a block of shards that a suffix array is built over, and of a larger
+#: shard's pieces beyond which equal ones are reduced.
+SHARD_BYTES, ROUND_BYTES = 1 << 20, 4 << 20
 #: Bytes of a gram's runs beyond which it is split.
 SPLIT = 4 << 20
 _NO = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -259,14 +259,13 @@ def run_bytes(wanted: DataFrame, docs: DataFrame, length: int = LENGTH) -> DataF
 
 
 def _pieces(raw: bytes, gram: np.ndarray, start: np.ndarray, size: np.ndarray, parts: np.ndarray, row: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """Pieces of a document: whole runs, or parts of those whose gram is split."""
+    """Pieces of a document: whole runs, or the strings of those whose gram is split."""
     if (parts > 1).any():
         found = [(gram[parts == 1], start[parts == 1], size[parts == 1])]
         for g, s, n, p in zip(*(c[parts > 1].tolist() for c in (gram, start, size, parts)), strict=True):
             where = _gram_hashes(np.frombuffer(raw[s : s + n + length - 1], np.uint8), length) % np.uint64(p)
-            edge = np.concatenate([[0], np.flatnonzero(where[1:] != where[:-1]) + 1, [len(where)]])
-            shard = mix64(where[edge[:-1]] + np.uint64(1) + np.uint64(g & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-            found.append((shard, s + edge[:-1], np.diff(edge)))
+            shard = mix64(where + np.uint64(1) + np.uint64(g & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+            found.append((shard, s + np.arange(n), np.ones(n, np.int64)))
         gram, start, size = (np.concatenate(c) for c in zip(*found, strict=True))
     bytes_ = [raw[a:z] for a, z in zip(start.tolist(), (start + size + length - 1).tolist(), strict=True)]
     take = pa.array(np.zeros(len(bytes_), np.int64))
@@ -277,26 +276,33 @@ def _pieces(raw: bytes, gram: np.ndarray, start: np.ndarray, size: np.ndarray, p
 def repeated_strings(pieces, rank: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece, first, stop) of runs of strings that another piece or place holds
     earlier, where ``rank`` orders the pieces' documents."""
-    return _repeated(pieces, rank, start, np.zeros(len(rank), np.int64), length)[:3]
+    pieces = pieces if isinstance(pieces, pa.Array) else pa.array(pieces, pa.binary())
+    lead, distinct, copies = _distinct(pieces, rank, start, length)
+    own, first, stop = _again(distinct, rank[lead], start[lead], length)
+    return tuple(np.concatenate(x) for x in zip((lead[own], first, stop), copies, strict=True))
 
 
-def _repeated(pieces, rank: np.ndarray, start: np.ndarray, shard: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """``repeated_strings`` and the first of each distinct piece. Pieces of different
-    shards share no string; one that is alone in its shard needs no sorting."""
-    coded = (pieces if isinstance(pieces, pa.Array) else pa.array(pieces, pa.binary())).dictionary_encode()
+def _distinct(pieces: pa.Array, rank: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, pa.Array, tuple]:
+    """The first of each distinct piece, those pieces, and the strings of the others."""
+    coded = pieces.dictionary_encode()
     of = coded.indices.to_numpy()
     members = np.lexsort((start, rank, of))
     head = np.ones(len(members), bool)
     head[1:] = of[members[1:]] != of[members[:-1]]
-    lead = members[head]  # the first of each distinct piece
-    # The other places of a piece have each of its strings again.
-    strings = np.maximum(0, pc.binary_length(coded.dictionary).to_numpy() - length + 1)
-    of_lead = lead[of]
-    more = np.flatnonzero(((rank != rank[of_lead]) | (start != start[of_lead])) & (strings[of] > 0))
-    _, of_shard, count = np.unique(shard[lead], return_inverse=True, return_counts=True)
-    several = np.flatnonzero((count[of_shard] > 1) | (len(count) == 1))
-    own, first, stop = _again(coded.dictionary.take(pa.array(several)), rank[lead[several]], start[lead[several]], length)
-    return np.concatenate([lead[several[own]], more]), np.concatenate([first, np.zeros(len(more), np.int64)]), np.concatenate([stop, strings[of[more]]]), lead
+    lead = members[head]
+    strings = np.maximum(0, pc.binary_length(coded.dictionary).to_numpy().astype(np.int64) - length + 1)
+    at = lead[of]
+    more = np.flatnonzero(((rank != rank[at]) | (start != start[at])) & (strings[of] > 0))
+    return lead, coded.dictionary, (more, np.zeros(len(more), np.int64), strings[of[more]])
+
+
+def _several(shard: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Pieces that may share a string with another of their shard: they aren't
+    alone there, nor all single strings."""
+    _, of, count = np.unique(shard, return_inverse=True, return_counts=True)
+    longest = np.zeros(len(count), np.int64)
+    np.maximum.at(longest, of, sizes)
+    return np.flatnonzero((count[of] > 1) & (longest[of] > 1))
 
 
 def _again(pieces: pa.Array, rank: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -346,18 +352,22 @@ _COVER = "doc_id long, tie long, start int, size int"
 def sorted_shards(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
     """Covered bytes that the shards' suffix arrays show."""
 
-    def block(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, pa.RecordBatch]:
-        """Covered bytes, and a row of each piece with a string that nothing covers."""
+    def block(held: list[pa.RecordBatch], whole: bool) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+        """Covered bytes, and a row of each distinct piece; unless ``whole`` only
+        of equal pieces."""
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         ids, valid = _ids(rows.column("doc_id"))
-        tie = rows.column("tie").to_numpy()
-        start = rows.column("start").to_numpy().astype(np.int64)
-        piece, a, z, lead = _repeated(rows.column("bytes"), _document_order(ids, valid, tie), start, rows.column("shard").to_numpy(), length)
+        rank = _document_order(ids, valid, rows.column("tie").to_numpy())
+        start, size = (rows.column(c).to_numpy().astype(np.int64) for c in ("start", "size"))
+        lead, distinct, found = _distinct(rows.column("bytes"), rank, start, length)
+        if whole:
+            some = _several(rows.column("shard").to_numpy()[lead], size[lead])
+            own, a, z = _again(distinct.take(pa.array(some)), rank[lead[some]], start[lead[some]], length)
+            found = tuple(np.concatenate(x) for x in zip((lead[some[own]], a, z), found, strict=True))
+        piece, a, z = found
         take = pa.array(piece, pa.int64())
         cols = [rows.column("doc_id").take(take), rows.column("tie").take(take), pa.array((start[piece] + a).astype(np.int32)), pa.array((z - a + length - 1).astype(np.int32))]
-        left = np.zeros(rows.num_rows, bool)
-        left[lead] = (rows.column("size").to_numpy() > np.bincount(piece, z - a, rows.num_rows))[lead]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "tie", "start", "size"]), rows.filter(pa.array(left))
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "tie", "start", "size"]), rows.take(pa.array(lead))
 
     def run(batches):
         held, size, limit, now = [], 0, ROUND_BYTES, None
@@ -370,20 +380,18 @@ def sorted_shards(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
                     continue
                 if shard[a] != now:
                     if size >= SHARD_BYTES:
-                        yield block(held)[0]
+                        yield block(held, True)[0]
                         held, size = [], 0
                     now, limit = shard[a], ROUND_BYTES
                 elif size >= limit:
-                    # More of a large shard: what is left of it so far goes on.
-                    found, left = block(held)
+                    found, left = block(held, False)
                     yield found
-                    left = left.filter(pa.array(left.column("shard").to_numpy() == now))
                     held, size = [left], int(left.column("size").to_numpy().sum()) + left.num_rows * length
                     limit = max(ROUND_BYTES, 2 * size)
                 held.append(batch.slice(a, z - a))
                 size += int(lengths[a:z].sum()) + (z - a) * length
         if held:
-            yield block(held)[0]
+            yield block(held, True)[0]
 
     dealt = contexts.repartition(partitions(contexts.sparkSession), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, _COVER)

@@ -219,6 +219,10 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+#: Links that a file of a round holds about.
+FILE_ROWS = 1 << 20
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Stars (node, root): every node of the graph of links (a > b) but the
     smallest of its component, which is the root.
@@ -239,7 +243,8 @@ def connected(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
-        after = cut(small.distinct(), "links")
+        # A round's links are about as many as the last one's: few rows, few files.
+        after = cut(small.distinct().coalesce(-(-count.n // FILE_ROWS)), "links")
         drop_cut(now)
         now = after
 

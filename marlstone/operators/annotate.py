@@ -146,9 +146,21 @@ def labelled_objects(objects: DataFrame, name: str = "rule", image: str = "image
     return one.unionByName(two).unionByName(three)
 
 
-def questions(images: DataFrame, asked: dict[str, str], name: str = "rule", image: str = "image_path", **more) -> DataFrame:
-    """Images with a map of question to answer; a fixed, small set of questions."""
+def questions(images: DataFrame, asked: dict[str, str], name: str = "rule", image: str = "image_path", done: DataFrame | None = None, failed: str | None = None, **more) -> DataFrame:
+    """Images with a map of question to answer; a fixed, small set of questions.
+    Pairs in ``done`` (image, question, answer) keep that answer and aren't asked
+    again; ``failed`` is the answer where the model can't take the question."""
     grid = images.withColumn("_q", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in asked.items()])))
     grid = grid.select(*images.columns, F.col("_q.k").alias("_k"), F.col("_q.v").alias("_prompt"))
+    if done is not None:
+        known = done.select(F.col(image).alias("_i"), F.col("question").alias("_q"), F.col("answer").alias("_known"), F.lit(True).alias("_done"))
+        # Filtered before the model, as no filter passes a Python stage.
+        grid = grid.join(known, (F.col(image) == F.col("_i")) & (F.col("_k") == F.col("_q")), "left").drop("_i", "_q")
+        kept = grid.filter("_done").withColumn("_a", F.col("_known")).drop("_known", "_done")
+        grid = grid.filter("_done IS NULL").drop("_known", "_done")
     said = respond(grid, name, "_prompt", image, "_a", **more)
+    if failed is not None:
+        said = said.withColumn("_a", F.coalesce("_a", F.lit(failed)))
+    if done is not None:
+        said = said.unionByName(kept)
     return said.groupBy(*images.columns).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_a")))).alias("answers"))

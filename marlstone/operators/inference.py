@@ -7,7 +7,9 @@ written before it branches, so each question is asked once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import prompts
@@ -16,6 +18,7 @@ from marlstone.functions.text import parse_response
 from marlstone.operators import annotate, embeddings, matching, metrics
 from marlstone.schemas import FINALS, FULL_LABEL, LABELS
 from marlstone.session import cut
+from marlstone.sources import stores
 
 AXES = ("nature", "biotic", "material")
 
@@ -118,3 +121,20 @@ def calibrate(pairs: DataFrame, name: str = "rule", **more) -> DataFrame:
 
 def calibration_scores(rows: DataFrame) -> DataFrame:
     return axis_metrics(rows, {a: (f"gt_{a}", f"pred_{a}") for a in AXES})
+
+
+def annotate_to(path: str, images: DataFrame, vocabulary: DataFrame, resolved: DataFrame, header: dict, name: str = "rule", **more) -> None:
+    """The first part of a run: annotate images and write the artifact."""
+    began = time.monotonic()
+    records = infer(images, vocabulary, resolved, name, **more)
+    stores.write_artifact(records, path, {**header, "model": name}, time.monotonic() - began)
+
+
+def score_from(spark: SparkSession, path: str, lemmas: DataFrame, out: str | None = None) -> tuple[dict, DataFrame]:
+    """The second part: the artifact's header and scores by axis; with ``out`` the
+    predictions are written there as CSV, an object a row."""
+    header, records = stores.read_artifact(spark, path)
+    if out is not None:
+        rows = exploded_objects(records).filter("object IS NOT NULL")
+        stores.write_predictions(rows.select("image_path", "obj_idx", "object", "label", "final"), stores.prediction_path(out, header["dataset"], header["model"]))
+    return header, holistic_scores(records, lemmas)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.functions.labels import AXES
+from marlstone.functions.labels import AXES, ground_truth
 from marlstone.operators import graph, matching
 
 
@@ -55,6 +55,16 @@ def read_instances(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return images, whole.select(F.explode("annotations").alias("a")).select("a.*"), read_categories(spark, path)
 
 
+def instance_targets(spark: SparkSession, path: str, nodes: DataFrame, resolved: DataFrame) -> DataFrame:
+    """image_id, file_name, name, node and the truth of each labelled category on
+    an image of an instances file; ``nodes`` has category_id and node."""
+    images, annotations, found = read_instances(spark, path)
+    pairs = matching.image_targets(images, annotations, found.join(nodes.select("category_id", "node"), "category_id"))
+    met = graph.mapped_classes(pairs.join(images, "image_id"), resolved, "node")
+    truth = ground_truth(F.col("is_nature"), F.col("life_category"), F.col("tangibility"))
+    return met.select("image_id", "file_name", "name", "node", truth.alias("g")).select("image_id", "file_name", "name", "node", "g.*")
+
+
 def read_categories(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.schema("categories array<struct<id:int,name:string>>").json(path, multiLine=True)
     matching.require_none(whole.filter("categories IS NULL"), f"no categories in {path}")
@@ -112,7 +122,7 @@ def readable(rows: DataFrame, files: DataFrame, key: str) -> DataFrame:
     return rows.join(files.select(key).distinct(), key, "left_semi")
 
 
-_DATASETS: dict[str, Callable[..., DataFrame]] = {"folder": read_image_folder, "posts": read_posts, "scenes": read_scenes}
+_DATASETS: dict[str, Callable[..., DataFrame]] = {"folder": read_image_folder, "instances": instance_targets, "posts": read_posts, "scenes": read_scenes}
 
 
 def register_dataset(name: str, reader: Callable[..., DataFrame]) -> None:

@@ -64,3 +64,25 @@ WITH v AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
+
+SUFFIXES = """
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(CAST(length(h) / 2 AS BIGINT) - 99)) AS i FROM docs)
+), first AS (
+  SELECT s, min(doc_id * CAST(4294967296 AS HUGEINT) + i) AS place FROM strings GROUP BY s HAVING count(*) > 1
+), again AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new
+  FROM strings JOIN first USING (s) WHERE doc_id * CAST(4294967296 AS HUGEINT) + i > place
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM again) GROUP BY doc_id, k
+), placed AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans
+), cut AS (
+  SELECT doc_id, count(*) AS n, sum(z - a) AS gone, max(z) AS z, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM placed JOIN docs USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * z + 1), h))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)
+"""

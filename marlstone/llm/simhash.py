@@ -165,11 +165,19 @@ def _spread(fps: DataFrame, bits: int, half: int) -> DataFrame:
 def prefix_bits(fps: DataFrame, half: int) -> int:
     """Bits of the shortest prefix that no more than LOAD fingerprints share, with
     their variants; counted with partial sums, so only the largest is known here."""
-    for bits in range(PREFIX, DEEPEST, STEP):
-        most = _spread(fps, bits, half).groupBy("prefix").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
-        if most <= LOAD:
-            return bits
-    return DEEPEST
+    return _prefixes(fps, half)[0]
+
+
+def _prefixes(fps: DataFrame, half: int) -> tuple[int, int]:
+    """``prefix_bits``, and the number of fingerprints."""
+    bits, n = PREFIX, 0
+    while bits < DEEPEST:
+        sizes = _spread(fps, bits, half).groupBy("prefix").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+        n = (sizes["all"] or 0) // sum(len(_masks(0, bits, k)) for k in range(min(half, bits) + 1))
+        if (sizes.most or 0) <= LOAD:
+            break
+        bits += STEP
+    return bits, n
 
 
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
@@ -178,7 +186,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     half, spark = radius // 2, fps.sparkSession
     if radius % 2:
         raise ValueError("the radius must be even")
-    bits = prefix_bits(fps, half)
+    bits, n = _prefixes(fps, half)
     dealt = _spread(fps, bits, half).repartition(partitions(spark), "prefix").sortWithinPartitions("prefix")
 
     def group(prefix: int, found: np.ndarray):
@@ -216,7 +224,8 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         yield from close()
 
     ship(spark)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    # As many links as fingerprints at most.
+    return dealt.mapInArrow(run, "a long, b long").distinct().coalesce(-(-n // FILE_ROWS) or 1)
 
 
 #: Links that a file of a round holds about.

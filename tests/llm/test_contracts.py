@@ -26,7 +26,7 @@ def test_sql(spark, sf, name):
 
 def test_ten_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
-    assert oracles.CHAT and len(SQL) == 4
+    assert oracles.CHAT and oracles.SUFFIXES and len(SQL) == 5
 
 
 def test_pages(spark, sf):

@@ -32,13 +32,32 @@ def projection(seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((WIDTH, DIMS))
 
 
-def hashed_vector(ids: np.ndarray) -> np.ndarray:
-    """Damped signed counts of hashed ids, of length one (zero if none)."""
-    h = mix64(ids.astype(np.uint64) + np.uint64(1))
-    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
-    v = np.bincount((h % np.uint64(WIDTH)).astype(np.int64), sign, WIDTH)
+_HASHED: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _hashed(top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and sign of each id below a power of two that holds ``top``."""
+    size = 1 << max(16, top.bit_length())
+    if size not in _HASHED:
+        h = mix64(np.arange(size, dtype=np.uint64) + np.uint64(1))
+        _HASHED[size] = (h % np.uint64(WIDTH)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+    return _HASHED[size]
+
+
+def hashed_vectors(docs: list[np.ndarray]) -> np.ndarray:
+    """Damped signed counts of each document's hashed ids, of length one (zero if
+    it has none)."""
+    ids = np.concatenate(docs)
+    place, sign = _hashed(int(ids.max(initial=0)))
+    at = np.repeat(np.arange(len(docs)) * WIDTH, [len(d) for d in docs]) + place[ids]
+    v = np.bincount(at, sign[ids], len(docs) * WIDTH).reshape(len(docs), WIDTH)
     v = np.sign(v) * np.sqrt(np.abs(v))
-    return v / (np.linalg.norm(v) or 1.0)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(norm > 0, norm, 1.0)
+
+
+def hashed_vector(ids: np.ndarray) -> np.ndarray:
+    return hashed_vectors([ids])[0]
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -90,7 +109,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFr
         for batch in batches:
             for part in rows_of(batch):
                 ids = [enc.encode(t or "") + end for t in part.column("text").to_pylist()]
-                keys = curve_key(np.array([hashed_vector(np.frombuffer(x, enc.dtype)) for x in ids]), matrix)
+                keys = curve_key(hashed_vectors([np.frombuffer(x, enc.dtype) for x in ids]), matrix)
                 wide = enc.dtype.itemsize
                 of = zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), ids, keys.tolist(), strict=True)
                 rows = [(d, t, a // wide, len(x) // wide, x[a : a + size * wide], wide, k) for d, t, x, k in of for a in range(0, len(x), size * wide)]

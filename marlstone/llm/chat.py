@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import partitions
+from marlstone.llm.common import partitions, ship
 
 
 @dataclass(frozen=True)
@@ -120,6 +120,7 @@ def format_conversations(rows: DataFrame, template: Template = CHATML) -> DataFr
 
     ordered = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     ordered = ordered.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    ship(rows.sparkSession)
     return ordered.select("conv_id", "role", "text").mapInArrow(run, _SEGMENT)
 
 
@@ -190,6 +191,7 @@ def read_back(segments: DataFrame, template: Template = CHATML) -> DataFrame:
         if reader is not None:
             yield _read_batch([row()])
 
+    ship(segments.sparkSession)
     return segments.mapInArrow(run, _READ)
 
 

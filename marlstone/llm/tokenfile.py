@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, filesystem, partitions, rows_of, scratch
+from marlstone.llm.common import cut, filesystem, partitions, rows_of, scratch, ship
 from marlstone.llm.encode import encoder
 
 MAGIC = b"MLTOKEN1"
@@ -237,6 +237,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                             }
                         )
 
+    ship(manifest.sparkSession)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("base"))
     return placed.repartition(partitions(manifest.sparkSession)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

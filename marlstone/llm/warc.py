@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, filesystem, partitions, scratch
+from marlstone.llm.common import cut, filesystem, partitions, scratch, ship
 
 SKIPPABLE = 0x184D2A5D
 #: Bytes of records that the dictionary is trained on, and its size.
@@ -254,4 +254,5 @@ def read_warc(manifest: DataFrame, payload: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], _FIELDS[k]) for k in names})
 
     schema = ", ".join(f for f in _READ.split(", ") if f.split()[0] in names)
+    ship(manifest.sparkSession)
     return manifest.repartition(partitions(manifest.sparkSession)).mapInArrow(read, schema)

@@ -439,3 +439,19 @@ def test_template_classes_nest():
     root = [page.tokens[0], page.tokens[1], page.tokens[-1]]
     assert pages.template_tokens(page.tokens, [root]).sum() == 3
     assert pages.template_tokens(page.tokens, [root[::-1]]).sum() == 0
+
+
+def test_long_conversation(spark):
+    """Tens of thousands of turns and a turn of megabytes, read back whole."""
+    import hashlib
+
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i} <|im_end|>") for i in range(20_000)]
+    rows += [(2, 0, "user", "q"), (2, 1, "assistant", "é<|im_start|>" * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    for k, r in got.items():
+        own = [(role, text) for c, _, role, text in rows if c == k]
+        said = "".join(t for role, t in own if role == "assistant")
+        assert (r.n_turns, r.loss_chars) == (len(own), len(said))
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()

@@ -31,16 +31,16 @@ class Memo(dict):
     """Makes what it lacks; when full, it keeps what was asked for lately. Keys
     over MEMO_LENGTH characters are made anew each time."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= MEMO_LENGTH:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.entries:
                 self.old = dict(self)
                 self.clear()
             self[key] = value

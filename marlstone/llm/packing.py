@@ -32,6 +32,8 @@ def projection(seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((WIDTH, DIMS))
 
 
+#: Documents whose vectors are made at a time.
+_GROUP = 256
 _HASHED: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -109,7 +111,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFr
         for batch in batches:
             for part in rows_of(batch):
                 ids = [enc.encode(t or "") + end for t in part.column("text").to_pylist()]
-                keys = curve_key(hashed_vectors([np.frombuffer(x, enc.dtype) for x in ids]), matrix)
+                found = [np.frombuffer(x, enc.dtype) for x in ids]
+                keys = np.concatenate([curve_key(hashed_vectors(found[i : i + _GROUP]), matrix) for i in range(0, len(found), _GROUP)])
                 wide = enc.dtype.itemsize
                 of = zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), ids, keys.tolist(), strict=True)
                 rows = [(d, t, a // wide, len(x) // wide, x[a : a + size * wide], wide, k) for d, t, x, k in of for a in range(0, len(x), size * wide)]

@@ -46,7 +46,7 @@ LENGTH, GRAM = 100, 32
 REDUCE_BYTES = 1 << 23
 #: Bytes of a block of shards that a suffix array is built over, and of a larger
 #: shard's pieces beyond which equal ones are reduced.
-SHARD_BYTES, ROUND_BYTES = 1 << 20, 4 << 20
+SHARD_BYTES, ROUND_BYTES = 1 << 19, 4 << 20
 #: Bytes of a gram's runs beyond which it is split.
 SPLIT = 4 << 20
 _NO = np.uint64(0xFFFFFFFFFFFFFFFF)

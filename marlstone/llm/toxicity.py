@@ -150,6 +150,10 @@ def restore(word: str, cost: list[list[list[float]]]) -> str:
     return "".join(reversed(out))
 
 
+#: Strings that a restorer or scorer remembers a generation.
+ENTRIES = 50_000
+
+
 def features(word: str) -> list[str]:
     """A word and its beginnings of three to six letters (marked)."""
     return [word, *[word[:n] + "*" for n in range(3, 7) if len(word) > n]]
@@ -160,7 +164,7 @@ class Restorer:
 
     def __init__(self, cost: np.ndarray):
         self.table = cost.tolist()
-        self.known = Memo(self.word)
+        self.known = Memo(self.word, ENTRIES)
 
     def word(self, raw: str) -> tuple[str, ...]:
         core = raw.strip(_EDGE)
@@ -224,7 +228,7 @@ class Model:
         def hits(words) -> tuple[str, ...]:
             return tuple(f for w in words if w[:3] in heads for f in features(w) if f in weights)
 
-        of = Memo(lambda raw: hits(restorer.word(raw)))
+        of = Memo(lambda raw: hits(restorer.word(raw)), ENTRIES)
 
         def score(text: str | None) -> float:
             low = (text or "").lower()
